@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, secrets
+from quarry.llm import bpe, langid, secrets, warc
 
 _QUERIES = {
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op4_warc": warc.op4_warc,
+    "op6_language_id": langid.op6_language_id,
     "op8_bpe": bpe.op8_bpe,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL}
 
 
 def queries() -> dict:
