@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, langid, secrets, warc
+from quarry.llm import bpe, html, langid, rollups, secrets, topk, warc
 
 _QUERIES = {
     "op2_secret_scans": secrets.op2_secret_scans,
     "op4_warc": warc.op4_warc,
+    "op5_html_extraction": html.op5_html_extraction,
     "op6_language_id": langid.op6_language_id,
+    "op7_exact_topk": topk.op7_exact_topk,
     "op8_bpe": bpe.op8_bpe,
+    "op10_token_counts": rollups.op10_token_counts,
 }
-_ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL}
+_ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op7_exact_topk": topk.OP7_SQL, "op10_token_counts": rollups.OP10_SQL}
 
 
 def queries() -> dict:
