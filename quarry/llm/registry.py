@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, html, langid, rollups, secrets, topk, warc
+from quarry.llm import bpe, decontaminate, html, langid, rollups, secrets, topk, warc
 
 _QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op4_warc": warc.op4_warc,
     "op5_html_extraction": html.op5_html_extraction,
