@@ -196,10 +196,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """read() with the pieces of cut members joined."""
-    found = cut(read(spark, path), "warc-read")
-    whole = found.where("kind = 'record'").select(*_NAMES)
+def records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """read() with the pieces of cut members joined; without payloads if they are not asked for."""
+    found = read(spark, path)
+    found = cut(found if payloads else found.drop("payload"), "warc-read")
+    names = [n for n in _NAMES if payloads or n != "payload"]
+    whole = found.where("kind = 'record'").select(*names)
     loose = found.where("kind <> 'record'").select("file", "at", "seq", "kind", "piece")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,7 +214,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                 held = None
         return pd.DataFrame(rows, columns=_NAMES).astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
 
-    return whole.unionByName(loose.groupBy("file").applyInPandas(join, RECORD))
+    return whole.unionByName(loose.groupBy("file").applyInPandas(join, RECORD).select(*names))
 
 
 _PIECE_SCHEMA = pa.schema(
@@ -225,7 +227,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     path = fresh_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
