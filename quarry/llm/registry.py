@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontaminate, html, langid, rollups, secrets, topk, warc
+from quarry.llm import bpe, decontaminate, html, jaccard, langid, rollups, secrets, topk, warc
 
 _QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_warc": warc.op4_warc,
     "op5_html_extraction": html.op5_html_extraction,
     "op6_language_id": langid.op6_language_id,
@@ -14,7 +15,7 @@ _QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op10_token_counts": rollups.op10_token_counts,
 }
-_ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op7_exact_topk": topk.OP7_SQL, "op10_token_counts": rollups.OP10_SQL}
+_ORACLES: dict[str, str] = {"op3_ngram_jaccard": jaccard.OP3_SQL, "op4_warc": warc.OP4_SQL, "op7_exact_topk": topk.OP7_SQL, "op10_token_counts": rollups.OP10_SQL}
 
 
 def queries() -> dict:
