@@ -1,13 +1,32 @@
-"""A training-data pipeline over `documents`: language ID, near-duplicate removal, decontamination, secrets, BPE."""
+"""A training-data pipeline over `documents`: language ID, near-duplicates, decontamination, secrets, BPE.
+
+Every stage works on all that its predecessor kept and returns the columns of documents; the last returns token ids.
+Between stages the documents are written to the shared folder, so a lost executor never costs an earlier stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, secrets
+from quarry.llm import bpe, decontaminate, jaccard, langid, secrets
 from quarry.llm.common import cut
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (null or without a letter) go."""
+    return langid.identify(docs)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word five-grams at a similarity of 0.8 or more, the one with the least id stays."""
+    return jaccard.deduplicate(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     return secrets.redact(docs)
@@ -19,11 +38,14 @@ def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scans", secret_scans),
     ("bpe_coding", bpe_coding),
 ]
 
-#: Python regular expressions, trained models and tokenizers take part: SQL cannot express the rows.
+#: A trained network, regular expressions and a tokenizer take part: SQL cannot express the rows.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontaminate, html, jaccard, langid, rollups, secrets, topk, warc
+from quarry.llm import bpe, decontaminate, html, jaccard, katz, langid, rollups, secrets, topk, warc
 
 _QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ _QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_bpe": bpe.op8_bpe,
+    "op9_lm_scoring": katz.op9_lm_scoring,
     "op10_token_counts": rollups.op10_token_counts,
 }
 _ORACLES: dict[str, str] = {"op3_ngram_jaccard": jaccard.OP3_SQL, "op4_warc": warc.OP4_SQL, "op7_exact_topk": topk.OP7_SQL, "op10_token_counts": rollups.OP10_SQL}
