@@ -2,9 +2,9 @@
 
 A document is the set of its distinct shingles of SHINGLE words (A-Z lower-cased). Documents with equal sets are one
 node. Two sets with 100 * |A & B| >= PERCENT * |A | B| differ in at most H elements, H following from their sizes; so
-when the hash space is cut into H + 1 ranges, they agree wholly in at least one. Nodes that agree in a range are
-brought together through the least node of that range (a star, never all pairs), which gives candidate clusters that
-no link leaves.
+when the hash space is cut into more than H ranges, they agree wholly in some, and in one of the fullest. Nodes that
+agree in a range are brought together through the least node of that range (a star, never all pairs), which gives
+candidate clusters that no link leaves.
 
 Within a cluster the count vectors do the work: shingles are hashed into GROUPS groups, and a set is the point of its
 group counts. An R-tree over the points bounds the overlap with everything below a tree node by the summed minima of
@@ -81,20 +81,35 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(total, 5).view(np.int64)[0])
 
 
+def most_apart(n: int, m: int, percent: int) -> int:
+    """The greatest symmetric difference of linked sets of these sizes."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
 def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """One key per range of the hash space, for the set's size band and, near its upper edge, the next band too."""
+    """Keys of ranges of the hash space, for the set's size band and, near its upper edge, the next band too.
+
+    A band has more ranges than its largest sets can differ in. Linked sets of which one has this size differ in at
+    most `apart` ranges, so they agree in at least ranges - apart; the fullest of those is, in either set, among the
+    apart + 1 fullest ranges. Only these are named: near-empty ranges, which unrelated sets share, are left out.
+    """
     n, out = len(s), []
     band = int(np.searchsorted(_BOUNDS, n, side="right")) - 1
+    apart = most_apart(n, 100 * n // percent, percent)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s, 6), dtype=np.uint64)))
         for b in (band, band + 1):
             if b > band and 100 * n < percent * int(_BOUNDS[b]):
                 break
-            ranges = (100 - percent) * 2 * (int(_BOUNDS[b + 1]) - 1) // (100 + percent) + 1
+            top = int(_BOUNDS[b + 1]) - 1
+            ranges = most_apart(top, 100 * top // percent, percent) + 1
+            ranges += max(1, ranges // 4) if ranges > 1 else 0
             part = ((s >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-            content = sums[edges[1:]] - sums[edges[:-1]] + (edges[1:] - edges[:-1]).astype(np.uint64)
-            out.append(mix(mix(content, 7) ^ (np.arange(ranges, dtype=np.uint64) + np.uint64(b << 40)), 8))
+            size = edges[1:] - edges[:-1]
+            pick = np.argsort(-size, kind="stable")[: apart + 1]
+            content = (sums[edges[1:]] - sums[edges[:-1]])[pick] + size[pick].astype(np.uint64)
+            out.append(mix(mix(content, 7) ^ (pick.astype(np.uint64) + np.uint64(b << 40)), 8))
     return np.concatenate(out).view(np.int64)
 
 
