@@ -108,7 +108,7 @@ class Words:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
 
-def text_batches(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+def text_batches(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
     """Slices of a batch whose texts have about `most` characters together, each as (offset, texts); one text is never split."""
     texts = batch.column(column).to_pylist()
     at, size = 0, 0

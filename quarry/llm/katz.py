@@ -36,7 +36,7 @@ from quarry.llm.common import Words, bucket_of, cut, mix, release, text_batches
 CUT, TAIL = 5, 0.1
 HOT = 4096
 #: Tokens that a mapper packs at once, and that a partition by word holds.
-CHUNK, PER_BUCKET = 2_000_000, 2_500_000
+CHUNK, PER_BUCKET = 1_500_000, 2_500_000
 END, BOS = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xB050_0000_0000_0001)
 _BLOB = "kind string, key bigint, size bigint, blob binary"
 _LOCAL = 22  # bits of a document's number in its chunk
@@ -77,6 +77,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, history, text number) of all tokens: each text's words and its end."""
+    parts, at, size = [], 0, 0
+    for i, t in enumerate(texts):  # hashed a million characters at a time
+        size += len(t or "")
+        if size >= 1_000_000 or i + 1 == len(texts):
+            parts.append(_tokens(texts[at : i + 1], at))
+            at, size = i + 1, 0
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32))
+
+
+def _tokens(texts: list[str | None], number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = Words(texts)
     n = np.diff(w.first)
     ends = np.cumsum(n + 1) - 1
@@ -86,8 +96,8 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     token[~is_end], token[is_end] = w.hash, END
     history = np.empty_like(token)
     history[1:] = token[:-1]
-    history[np.concatenate(([0], ends[:-1] + 1))[: len(n)]] = BOS
-    return token, history, np.repeat(np.arange(len(n)), n + 1)
+    history[np.concatenate(([0], ends[:-1] + 1))] = BOS
+    return token, history, np.repeat(np.arange(number, number + len(n), dtype=np.int32), n + 1)
 
 
 def _read(docs: DataFrame, held_out) -> DataFrame:
@@ -200,8 +210,9 @@ def _count(hot: np.ndarray, hot_counts: np.ndarray, buckets: int):
     known_hot.sort()
 
     def one(values: list[tuple]) -> Iterator[tuple]:
-        parts = []
-        for kind, size, blob in values:
+        parts: list[tuple] = []
+        while values:  # each blob goes as soon as it is unpacked
+            kind, size, blob = values.pop()
             value = _unpack(size, blob)
             if kind == "head":
                 yield _pack("head", value[0], value)
@@ -211,18 +222,24 @@ def _count(hot: np.ndarray, hot_counts: np.ndarray, buckets: int):
                 parts.append((words[np.cumsum(w.astype(np.int64))], words[h], (np.int64(number) << _LOCAL) + np.cumsum(step.astype(np.int64)), np.unpackbits(train, count=n).astype(bool)))
         if not parts:
             return
-        token, history, doc, train = (np.concatenate(x) for x in zip(*parts))
-        del parts
+        columns = [list(x) for x in zip(*parts)]
+        del parts, value
+        token, history = np.concatenate(columns[0]), np.concatenate(columns[1])
+        columns[0] = columns[1] = None
         order = np.lexsort((history, token))
-        token, history, doc, train = token[order], history[order], doc[order], train[order]
+        token, history = token[order], history[order]
+        doc = np.concatenate(columns[2])[order]
+        train = np.concatenate(columns[3])[order]
+        del columns, order
         words, pairs = _runs(token), _runs(token, history)
-        count = lambda starts: np.add.reduceat(train.astype(np.int64), starts)
+        count = lambda starts: np.add.reduceat(train, starts, dtype=np.int64)
         spread = lambda x, starts: np.repeat(x, np.diff(np.append(starts, len(token))))
         cw = count(words)
         slot, is_hot = _in(hot, token[words])
         cw[is_hot] = hot_counts[slot[is_hot]]
         c_pair = count(pairs)
-        cw_token, c_token = spread(cw, words), spread(c_pair, pairs)
+        narrow = lambda x: x.astype(np.int32) if x.max(initial=0) < 1 << 31 else x
+        cw_token, c_token = spread(narrow(cw), words), spread(narrow(c_pair), pairs)
         yield _pack("s", 0, (int(((cw > 0) & ~is_hot).sum()), np.bincount(np.minimum(c_pair, CUT + 2), minlength=CUT + 3)))
 
         # Documents.
@@ -237,6 +254,7 @@ def _count(hot: np.ndarray, hot_counts: np.ndarray, buckets: int):
         total = lambda x: np.bincount(inverse, x, len(docs))
         small = np.bincount(inverse * (CUT + 1) + np.where(large, 0, c_token), ~large, len(docs) * (CUT + 1)).reshape(-1, CUT + 1).astype(np.int64)
         columns = (total(log10(cw_token + 1)), total(score), total(cw_token > 0).astype(np.int64))
+        del inverse, score, cw_token, c_token, large
         # Unseen bigrams whose history is hot wait for that history's weight with the document.
         at = np.flatnonzero(unseen)
         slot, is_hot = _in(known_hot, history[at])
