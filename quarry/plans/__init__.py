@@ -1,0 +1 @@
+"""Queries and reports put together from the operators."""
