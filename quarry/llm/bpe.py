@@ -20,14 +20,17 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bound_batches, text_batches
+
 #: Distinct words (between white space) whose encoding a worker keeps; beyond it the memory starts anew (results are the same).
-MEMO = 700_000
+MEMO = 250_000
 #: Pairs of tokens whose compatibility a worker keeps.
-FITS = 1_500_000
+FITS = 500_000
 _END = "</w>"
 #: Unicode's White_Space; str.split() also cuts at U+001C to U+001F, which it does not hold.
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -259,6 +262,7 @@ def load(path: str) -> Tokenizer:
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """id_col, n_tokens, ids array<int> (if asked for), ids_sha256, decoded_sha256 of every row."""
+    bound_batches(docs.sparkSession)
     path = path or default_path()
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
@@ -268,16 +272,19 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         gc.disable()  # the memos hold no cycles, and walking them again and again costs more than all else
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
-            n, ids_sha, decoded_sha, ids = [], [], [], []
-            for text in batch.column(1):
-                joined, count, decoded = tokenizer.encode(text.as_py())
-                n.append(count)
-                ids_sha.append(sha(joined))
-                decoded_sha.append(sha(decoded))
+            for at, texts in text_batches(batch, "text"):  # what is held is bounded by characters, not rows
+                n, ids_sha, decoded_sha, ids = [], [], [], []
+                for text in texts:
+                    joined, count, decoded = tokenizer.encode(text)
+                    n.append(count)
+                    ids_sha.append(sha(joined))
+                    decoded_sha.append(sha(decoded))
+                    if with_ids:
+                        ids.append(np.array(joined.split(), np.int32))
+                arrays = [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
                 if with_ids:
-                    ids.append([int(x) for x in joined.split()])
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(ids))))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -50,6 +50,17 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of whole texts in one Arrow batch. Batches live outside the heap and, decoded, in Python workers.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, unless they are fewer already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def bucket_of(column: str, mod: int):
     """crc32 of the id written as text, modulo mod: how the contracts name their folds. A null id counts as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0))
@@ -108,7 +119,7 @@ class Words:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
 
-def text_batches(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
+def text_batches(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
     """Slices of a batch whose texts have about `most` characters together, each as (offset, texts); one text is never split."""
     texts = batch.column(column).to_pylist()
     at, size = 0, 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, mix, text_batches
+from quarry.llm.common import Words, bound_batches, mix, text_batches
 
 SIMILARITY = 0.8
 SIZES = (1, 2, 4, 8)
@@ -203,6 +203,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
 
 def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, distance, item_chars, first_word, n_words of every passage of an item in a document."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     benchmark = benchmark.withColumn("item_id", F.col("item_id").cast("long"))
     schema = FOUND.format(kind=docs.schema["doc_id"].dataType.simpleString())
@@ -229,6 +230,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without a passage of any item; all columns as they were."""
+    bound_batches(docs.sparkSession)
     at_text = docs.columns.index("text")
     for rows in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(rows)

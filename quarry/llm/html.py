@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import bound_batches, cut
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>?|([^<]+|<)",
@@ -203,6 +203,7 @@ BROADCAST_HOSTS = 100_000
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
+    bound_batches(pages.sparkSession)
     winners = cut(consensus(pages), "html-paths")
     few = winners.count() <= BROADCAST_HOSTS
     joined = pages.withColumn("_host", host_of(F.col("url"))).join(F.broadcast(winners) if few else winners, F.col("_host") == winners["host"], "left")

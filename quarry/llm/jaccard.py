@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, cut, drop_table, mix, release, text_batches
+from quarry.llm.common import Words, bound_batches, cut, mix, release, text_batches
 from quarry.llm.graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -243,6 +243,7 @@ def _linker(percent: int):
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     table = cut(signatures(docs, k, percent), "jaccard-sets")
     named = table.where("doc_id IS NOT NULL AND node IS NOT NULL")

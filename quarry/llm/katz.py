@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, bucket_of, cut, mix, release, text_batches
+from quarry.llm.common import Words, bound_batches, bucket_of, cut, mix, release, text_batches
 
 CUT, TAIL = 5, 0.1
 HOT = 4096
@@ -389,6 +389,7 @@ def _add_up(n: int, v: int, train_docs: int, star: np.ndarray, hot_weight: np.nd
 
 def score(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; held_out: a condition; the others train."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = _read(docs, held_out)
     hot, hot_counts, n, train_docs = hot_words(rows)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bucket_of
+from quarry.llm.common import bound_batches, bucket_of
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -153,6 +153,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in keep, lang_pred and score of every row."""
+    bound_batches(docs.sparkSession)
     spec = None if net is None else (net.languages, net.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bound_batches
+
 #: kind, pattern, group that holds the value, least length of that group. The first three are fixed by contract.
 BASE = [
     ("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
@@ -174,6 +176,7 @@ def scan_segment(texts: list[str | None], rules: list[tuple]) -> list[list[tuple
 
 def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, spans array<struct<kind, start, end>> of every row, by start and then by the order of the kinds."""
+    bound_batches(docs.sparkSession)
     rules = list(rules)
     kind_of_id = docs.schema[id_col].dataType.simpleString()
 
@@ -193,6 +196,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
     """documents with every span (overlapping ones merged) replaced by mark; rows without spans are unchanged."""
+    bound_batches(docs.sparkSession)
     rules, schema = list(rules), docs.schema
     at = schema.fieldNames().index("text")
     n_at = schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else None

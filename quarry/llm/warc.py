@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, fresh_path
+from quarry.llm.common import bound_batches, cut, fresh_path
 
 MAGIC = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
@@ -87,6 +87,7 @@ def parse_record(data: bytes) -> dict:
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write one record per row under path. Equal payloads of at least least_bytes are stored once."""
+    bound_batches(pages.sparkSession)
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     keyed = raw.withColumn("key", F.sha2("payload", 256))
     # One row per payload that occurs more than once: written out, so that the join below splits a hot payload's rows.
