@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, bound_batches, bucket_of, cut, mix, release, text_batches
+from quarry.llm.common import Words, bound_batches, bucket_of, cut, mix, release, text_batches, trim
 
 CUT, TAIL = 5, 0.1
 HOT = 4096
 #: Tokens that a mapper packs at once, and that a partition by word holds.
-CHUNK, PER_BUCKET = 1_500_000, 2_500_000
+CHUNK, PER_BUCKET = 2_500_000, 2_000_000
 END, BOS = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xB050_0000_0000_0001)
 _BLOB = "kind string, key bigint, size bigint, blob binary"
 _LOCAL = 22  # bits of a document's number in its chunk
@@ -189,8 +189,10 @@ def _deal(hot: np.ndarray, buckets: int):
                 size += len(row[2] or "") // 5 + 1
                 if size >= CHUNK or len(held_texts) >> (_LOCAL - 1):
                     yield chunk()
+                    trim()
         if held_texts:
             yield chunk()
+        trim()
 
     return run
 
@@ -296,6 +298,7 @@ def _count(hot: np.ndarray, hot_counts: np.ndarray, buckets: int):
                     yield _batch(rows)
                     rows, size = [], 0
             yield _batch(rows)
+            trim()
 
     return run
 
