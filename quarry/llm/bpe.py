@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import itertools
 import json
 import re
 import sys
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, text_batches
+from quarry.llm.common import bound_batches, text_batches, trim
 
-#: Distinct words (between white space) whose encoding a worker keeps; beyond it the memory starts anew (results are the same).
-MEMO = 250_000
+#: Distinct words (between white space) whose encoding a worker keeps at most; results do not depend on it.
+MEMO = 200_000
+#: How many of them, the first met and so mostly the frequent ones, stay then and from one task to the next.
+KEPT = 60_000
 #: Pairs of tokens whose compatibility a worker keeps.
 FITS = 500_000
 _END = "</w>"
@@ -204,6 +207,11 @@ class Tokenizer:
             at = back[at]
         return ids[::-1]
 
+    def forget(self) -> None:
+        """Keep only the words that were met first."""
+        for chunk in list(itertools.islice(self.memo, KEPT, None)):
+            del self.memo[chunk]
+
     def chunks(self, text: str) -> list[str]:
         """The normalised text cut at white space, which no pre-token crosses."""
         if not text.isascii():
@@ -218,7 +226,7 @@ class Tokenizer:
             return f"{a[0]} {b[0]}", a[1] + b[1], f"{a[2]} {b[2]}"
         ids = [i for piece in (self.split.findall(chunk) if not chunk.isalpha() else (chunk,)) for i in self.encode_piece(piece)]
         if len(self.memo) >= MEMO:
-            self.memo.clear()
+            self.forget()
         made = self.memo[chunk] = (" ".join(map(str, ids)), len(ids), " ".join([self.token[i] for i in ids]))
         return made
 
@@ -285,6 +293,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 if with_ids:
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(ids))))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        tokenizer.forget()
+        tokenizer.fits.clear()
+        trim()  # the worker lives on and has other tasks
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, bound_batches, mix, text_batches
+from quarry.llm.common import Words, bound_batches, mix, text_batches, trim
 
 SIMILARITY = 0.8
 SIZES = (1, 2, 4, 8)
@@ -242,6 +242,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
                 name = batch.schema.names[at_text]
                 keep = [not hits for _, texts in text_batches(batch, name) for hits in items.find(texts)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
+            trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, bound_batches, cut, mix, release, text_batches
+from quarry.llm.common import Words, bound_batches, cut, mix, release, text_batches, trim
 from quarry.llm.graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
                 flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "keys"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>")
 
@@ -267,6 +268,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
             for _, texts in text_batches(batch, "text"):
                 found = [s for s in shingle_sets(texts, k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "set"])
+        trim()
 
     placed = members.select("node", "cluster", "cells", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell")).join(read.mapInArrow(sets, "node bigint, set binary"), "node")
     # A cell meets every cell of its cluster once; a set goes to `cells` tasks, most often to one.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, bucket_of
+from quarry.llm.common import bound_batches, bucket_of, trim
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -192,6 +192,8 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str
                     size = 0
             flush()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        del model
+        trim()
 
     names = [f"c{i}" for i in range(len(keep))]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
