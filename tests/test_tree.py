@@ -2,69 +2,72 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.functions.fileclass import classify, is_named_build
+from quarry.plans.fixtures import BAKERY
 from quarry.plans.tree_report import scan_tree
 from quarry.sources.ignore import IgnoreRules
 
-SHOP = {
-    "package.json": "{}\n", "README.md": "hello\n", ".gitignore": "*.log\n", "debug.log": "noise\n", "Dockerfile": "FROM scratch\n", "Makefile": "all:\n\ttrue\n", "node_modules/index.js": "x\n",
-    "src/index.ts": "export {}\n", "src/components/Button.tsx": "export {}\n", "src/util/format.ts": "export {}\n", "docs/guide.md": "guide\n", "docs/images/logo.png": "png\n",
-    "packages/web/package.json": "{}\n", "packages/web/src/main.ts": "export {}\n", "packages/web/src/app.tsx": "export {}\n", "packages/api/pom.xml": "<project/>\n",
-    "packages/api/src/main/java/App.java": "class App {}\n", "packages/notes/todo.md": "todo\n", "infra/web.yaml": "Resources:\n  Bucket:\n    Type: AWS::S3::Bucket\n",
-    "infra/app.json": '{"AWSTemplateFormatVersion": "2010-09-09"}\n', "infra/notes.md": "notes\n", "ops/ansible.cfg": "[defaults]\n", "ops/webservers.yml": "- hosts: all\n  tasks:\n    - ansible.builtin.ping:\n",
-    "images/api": "FROM alpine:3.20\nRUN echo hi\n", ".github/workflows/deploy.yml": "on:\n  push:\njobs:\n  deploy:\n    runs-on: ubuntu-latest\n",
-}
-SHOP_TEXT = """\
-package.json
-Dockerfile
+BAKERY_TEXT = """\
+go.work
 Makefile
-other ×2
-node_modules/  skipped
-.github/  workflows/deploy.yml  1 dir  depth 1
-docs/  2 files  other ×2  1 dir  depth 1
-images/  api
-infra/  app.json  web.yaml  1 file  other ×1
-ops/  ansible.cfg  webservers.yml
-packages/
-  api/
-    pom.xml
-    src/  1 file  Java ×1  2 dirs  depth 2
-  notes/  1 file  other ×1
-  web/
-    package.json
-    src/  2 files  TSX ×1  TypeScript ×1
-src/  3 files  TypeScript ×2  TSX ×1  2 dirs  depth 1
+other ×1
+.hooks/  ci.yml  rules
+deploy/  image/cake  play.yaml  pods.json  stack.yml  1 file  other ×1  1 dir  depth 1
+ovens/  3 files  Go ×2  Rust ×1  2 dirs  depth 1
+shop/
+  till/
+    pyproject.toml
+    Python ×1
+    tests/  1 file  Python ×1  2 dirs  depth 2
+  window/  1 file  other ×1
 """
 
 
 def test_abstract(spark, plant, capsys):
-    report = scan_tree(spark, plant(SHOP))
-    assert report.to_text() == SHOP_TEXT
-    assert "walk\nwalk 23\n" in capsys.readouterr().err
+    report = scan_tree(spark, plant(BAKERY))
+    assert report.to_text() == BAKERY_TEXT
+    assert "walk\nwalk 17\n" in capsys.readouterr().err
     tree = json.loads(report.to_json())["roots"][0]["tree"]
-    assert tree["markers"] == ["package.json"]
-    assert next(c for c in tree["collapsed"] if c["path"] == "src")["files"] == {"TypeScript": 2, "TSX": 1}
+    assert tree["markers"] == ["go.work"] and tree["path"] == ""
+    assert next(c for c in tree["collapsed"] if c["path"] == "ovens") == {"path": "ovens", "build": [], "files": {"Go": 2, "Rust": 1}, "file_count": 3, "directories": 2, "depth": 1}
+    assert [c["path"] for c in tree["children"]] == ["shop"] and tree["children"][0]["children"][0]["path"] == "shop/till"
 
 
 def test_several_roots_of_one_name(spark, plant):
-    left, right = plant({"README.md": "left\n"}, "left"), plant({"main.py": "print('ok')\n"}, "same/left")
-    report = scan_tree(spark, left, right, left)
-    assert report.names == ["left", "left-2"]
-    assert report.to_text() == f"{left}\nother ×1\n\n{right}\nPython ×1\n"
-
-
-def test_build_file_does_not_open(spark, plant):
-    root = plant({"deploy/web.yaml": "Resources:\n  Bucket:\n    Type: AWS::S3::Bucket\n", "deploy/extra/readme.md": "hi\n"})
-    assert scan_tree(spark, root).to_text() == "deploy/  web.yaml  1 file  other ×1  1 dir  depth 1\n"
+    first, second = plant({"a.c": ""}, "src"), plant({"b.KTS": "", "c.": ""}, "deep/src")
+    report = scan_tree(spark, first, second, first)
+    assert report.names == ["src", "src-2"]
+    assert report.to_text() == f"{first}\nC ×1\n\n{second}\nKotlin ×1  other ×1\n"
 
 
 def test_skips_and_rules(spark, plant):
-    root = plant({".gitignore": "secret.py\nhidden/\n", "secret.py": "", "hidden/note.md": "x", "keep.py": "", ".git/HEAD": "x", "node_modules/i.js": "", "build/out.o": "o", "build/package.json": "{}", "pkg/build/lib.go": "package build\n", "pkg/vendor/x.go": "", "e/__init__.py": ""})
-    os.symlink(f"{root}/keep.py", f"{root}/link.py")
-    os.mkdir(f"{root}/empty")
+    root = plant({".gitignore": "*.tmp\nprivate/\n!keep.tmp\n", "x.tmp": "", "keep.tmp": "", "private/n.md": "n", ".git/config": "c", "dist/b.js": "", "build/Gemfile": "", "app/target/x": "", "app/build/m.rb": "", "mod/__init__.py": "", "mod/M.psd1": "ModuleVersion = 1", "ps/D.PSD1": "@{}"})
+    os.symlink(f"{root}/keep.tmp", f"{root}/also.py")
+    os.mkdir(f"{root}/hollow")
     text = scan_tree(spark, root).to_text()
-    assert text == "Python ×1  other ×1\nnode_modules/  skipped\nbuild/\n  package.json\n  other ×1\ne/  1 file  Python ×1\nempty/\npkg/  1 file  Go ×1  2 dirs  depth 1\n"
-    assert "node_modules/  1 file  JavaScript ×1" in scan_tree(spark, root, ignore=False).to_text()
+    assert text == "other ×2\ndist/  skipped\napp/  1 file  Ruby ×1  2 dirs  depth 1\nbuild/\n  Gemfile\nhollow/\nmod/\n  M.psd1\n  Python ×1\nps/  1 file  PowerShell ×1\n"
+    everything = scan_tree(spark, root, ignore=False).to_text()
+    assert "dist/  1 file  JavaScript ×1" in everything and "private/  1 file  other ×1" in everything and ".git/" not in everything
+
+
+@pytest.mark.parametrize(
+    "name, text, kind",
+    [
+        ("x.yml", "a: 1\nservices:\n  web:\n    image: n\n", "build"), ("x.yml", "services: none\n", "file"), ("x.yaml", " on: x\n jobs: y\n", "file"), ("x.json", '{"type": "Microsoft.Web"}', "build"), ("x.json", '{"a": 1}', "file"),
+        ("x.md", "FROM a\nRUN b\n", "file"), ("noext", "define a\nb\nendef\n", "build"), ("noext", ".PHONY: all\n", "build"), ("noext", "FROM a\rRUN b\n", "file"), ("noext", "FROM a\nRUN b\0", "file"), ("Dockerfile.dev", "", "build"),
+        ("main.tf.json", "{}", "build"), ("a.csproj", "", "marker"), ("Gemfile.lock", "", "file"), ("x.yml", "\u2028on: a\n\x0cjobs: b\n", "build"),
+    ],
+)
+def test_file_classes(spark, name, text, kind):
+    row = spark.createDataFrame([(name, bytearray(text, "utf-8"))], "name string, head binary")
+    assert row.select(classify(F.col("name"), F.col("name"), F.col("head"))[0].alias("k")).first().k == kind
+
+
+def test_circle_config_at_any_depth(spark):
+    rows = spark.createDataFrame([(".circleci/config.yml",), ("a/.circleci/config.yml",), ("a/circleci/config.yml",)], "p string")
+    assert [r.b for r in rows.select(is_named_build(F.lit("config.yml"), F.col("p")).alias("b")).collect()] == [True, True, False]
 
 
 @pytest.mark.parametrize(
