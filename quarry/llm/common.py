@@ -59,7 +59,7 @@ def drop_table(df: DataFrame) -> None:
 
 
 #: Rows of whole texts in one Arrow batch. Batches live outside the heap and, decoded, in Python workers.
-BATCH_ROWS = 2000
+BATCH_ROWS = 250
 
 
 def bound_batches(spark: SparkSession) -> None:

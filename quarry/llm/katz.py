@@ -36,7 +36,7 @@ from quarry.llm.common import Words, bound_batches, bucket_of, cut, mix, release
 CUT, TAIL = 5, 0.1
 HOT = 4096
 #: Tokens that a mapper packs at once, and that a partition by word holds.
-CHUNK, PER_BUCKET = 2_500_000, 2_000_000
+CHUNK, PER_BUCKET = 2_000_000, 2_000_000
 END, BOS = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xB050_0000_0000_0001)
 _BLOB = "kind string, key bigint, size bigint, blob binary"
 _LOCAL = 22  # bits of a document's number in its chunk
@@ -160,14 +160,17 @@ def _deal(hot: np.ndarray, buckets: int):
             nonlocal serial, size
             ids, held, texts = (list(x) for x in zip(*held_texts))
             token, history, doc = tokens(texts)
+            n_texts = len(texts)
+            del texts
             number = part << 16 | serial
             serial += 1
             held_texts.clear()
             size = 0
             _, is_hot = _in(hot, token)
             bucket = (np.where(is_hot, mix(token ^ mix(history, 9), 10), mix(token, 10)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((token, bucket))
+            order = np.lexsort((token, bucket)).astype(np.int32)
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            del is_hot, bucket
             train = ~np.array(held, bool)
             rows = []
             for b in range(buckets):
@@ -179,7 +182,7 @@ def _deal(hot: np.ndarray, buckets: int):
                 # Within a word the documents ascend, so their steps are small.
                 step = np.diff(doc[at], prepend=0).astype(np.int32)
                 rows.append(_pack("t", b, (number, words, _small(np.diff(w, prepend=0)), _small(h), step, np.packbits(train[doc[at]]))))
-            n = np.bincount(doc, minlength=len(texts))
+            n = np.bincount(doc, minlength=n_texts)
             rows.append(_pack("head", number % buckets, (number, ids, np.packbits(~train), _small(n))))
             return _batch(rows)
 
