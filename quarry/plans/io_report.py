@@ -93,6 +93,35 @@ def drop_own_includes(occurrences: DataFrame, listing: DataFrame) -> DataFrame:
     return cleaned.join(own, ["root_no", "include"], "left_anti")
 
 
+def workspace_specifiers(listing: DataFrame) -> DataFrame:
+    """root_no, spec of the module names that package.json and tsconfig*.json files define; a spec may hold `*`."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    at = lambda path: F.get_json_object(text, path)
+    keys = lambda path: F.coalesce(F.json_object_keys(at(path)), F.array().cast("array<string>"))
+    hidden = F.concat(F.lit("/"), F.col("dir")).contains("/.")
+    package = listing.where((F.col("name") == "package.json") & ~hidden)
+    name = at("$.name")
+    exports = F.transform(F.filter(keys("$.exports"), lambda k: k.startswith("./")), lambda k: F.concat(name, F.lit("/"), F.substring(k, F.lit(3), F.length(k))))
+    imports = F.filter(keys("$.imports"), lambda k: k.startswith("#"))
+    of_package = package.select("root_no", F.explode(F.concat(F.when(name != "", F.concat(F.array(name), exports)).otherwise(F.array().cast("array<string>")), imports)).alias("spec"))
+    config = listing.where(F.col("name").startswith("tsconfig") & F.col("name").endswith(".json") & ~hidden)
+    return of_package.unionByName(config.select("root_no", F.explode(keys("$.compilerOptions.paths")).alias("spec"))).where("spec <> ''").distinct()
+
+
+def drop_workspace_modules(occurrences: DataFrame, listing: DataFrame) -> DataFrame:
+    """Without imports of, and calls into, modules that the workspace names itself (JavaScript and its dialects)."""
+    script = F.col("language").isin("javascript", "typescript", "tsx")
+    specs = workspace_specifiers(listing)
+    used = occurrences.where(script & (F.col("module") != "")).select("root_no", "module").distinct()
+    exact = used.join(specs.select("root_no", F.col("spec").alias("module")), ["root_no", "module"], "left_semi")
+    wild = specs.where(F.col("spec").contains("*"))
+    shape = F.concat(F.lit("(?s)^\\Q"), F.replace(F.col("spec"), F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E$"))
+    # Few patterns meet the distinct module names of their own root only.
+    matched = used.join(wild.select("root_no", shape.alias("shape")), "root_no").where(F.expr("module rlike shape")).select("root_no", "module")
+    own = exact.unionByName(matched).distinct().withColumn("own", F.lit(True))
+    return occurrences.join(own, ["root_no", "module"], "left").where(~(script & F.coalesce("own", F.lit(False)))).drop("own")
+
+
 class IOReport:
     """version 3: the root paths, and per file its symbols with kinds and lines."""
 
@@ -131,7 +160,8 @@ def scan_io(spark: SparkSession, *roots: str, ignore: bool = True, classifier: C
         for r in rows.where("type = 'file'").select("path", "language").orderBy("path").toLocalIterator():
             say(r["path"], r["language"])
     occurrences = rows.where("type = 'occ'").select("path", "root_no", "language", "module", "symbol", "line", "skips_function", "owner", "include")
-    occurrences = drop_unused_modules(drop_own_includes(occurrences, listing)).drop("root_no", "include")
+    occurrences = drop_workspace_modules(drop_own_includes(occurrences, listing), listing)
+    occurrences = drop_unused_modules(occurrences).drop("root_no", "include")
     left = without_internal(occurrences, rows.where("type = 'def'").select("path", "language", "kind", "k", "v")).persist()
     symbols = left.select("language", "module", "symbol").distinct()
     say("filter", symbols.count())

@@ -99,6 +99,15 @@ def test_declared_names_go(spark, plant):
     assert {x for x in caught if x[0] == "kotlin"} == {("kotlin", "p.Foo", "walk"), ("kotlin", "p.Bar", "x")}
 
 
+def test_workspace_modules_are_own(spark, plant):
+    root = plant({
+        "pkgs/kit/package.json": '{"name": "kit", "imports": {"#shape/*": "./s/*.ts"}, "exports": {".": "./i.js", "./run": "./r.js"}}', "pkgs/site/tsconfig.base.json": '{"compilerOptions": {"paths": {"~lib": ["./l.ts"]}}}', "pkgs/bad/package.json": "{",
+        "pkgs/site/a.ts": "import { edit } from '~lib'\nimport { start } from 'kit'\nimport { R } from 'kit/run'\nimport { T } from '#shape/round'\nimport { read } from 'kit/src/deep'\nimport fs from 'node:fs'\nedit(); start(); R(); T(); read(); fs.readFileSync('a')\n",
+    })
+    caught, _ = seen(spark, root)
+    assert caught == {("typescript", "kit/src/deep", "read"), ("typescript", "node:fs", "readFileSync")}
+
+
 def test_shell_forms(spark, plant):
     root = plant({
         "a.sh": '#!/bin/bash\n. lib/b.sh\nhelper\ncommand helper\nsudo -n rm x\nV=curl\n"$V" x\nf() {\n  local T=wget\n  $T y\n}\nf\ncat <<EOF\nssh nothing\nEOF\necho "$(mkdir z)" # touch no\n', "lib/b.sh": "helper() { tar x; }\n", "tool": b"#!/usr/bin/env dash\nls\n"})
