@@ -36,6 +36,8 @@ CELL = 1024
 LEAF = 32
 #: Cluster members that may be sent to every task as ids (8 bytes each); beyond it the documents are joined by id.
 BROADCAST_IDS = 400_000
+#: Keys named by several nodes that may be sent to every task (16 bytes each); beyond it all keys are shuffled to them.
+BROADCAST_KEYS = 1_000_000
 
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -251,7 +253,8 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     pairs = named.select(F.explode("keys").alias("key"), "node")
     shared = cut(pairs.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"), "jaccard-keys")
     release(spark)
-    stars = cut(pairs.join(shared, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
+    few = shared.count() <= BROADCAST_KEYS
+    stars = cut(pairs.join(F.broadcast(shared) if few else shared, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
     release(spark)
     clusters = cut(components(stars).withColumnRenamed("root", "cluster"), "jaccard-clusters")
     least = cut(named.groupBy("node").agg(F.min("doc_id").alias("least")), "jaccard-least")
