@@ -194,6 +194,38 @@ def test_recall_of_edited_passages():
     assert sum(any(h[0] == i for h in hit) for i, hit in enumerate(hits)) >= 0.95 * sum(near)
 
 
+def typo(r, w):
+    i = r.randrange(len(w))
+    return w[:i] + r.choice("qrstuvwxyz") + w[i + 1 :]
+
+
+def edits(r, t):
+    c = list(t)
+    for i in r.sample(range(len(c)), len(c) // 5):
+        x = r.choice("qrstuvwxyz")
+        c[i] = r.choice(["", x, c[i] + x])
+    return "".join(c)
+
+
+def recall(r, items, edited):
+    near = [i for i, (t, e) in enumerate(zip(items, edited)) if decontaminate.nearest(t, e, int(0.2 * len(t) + 1e-9)) is not None]
+    hits = decontaminate.Items(list(enumerate(items))).find([f"{prose(r, 40)} {e} {prose(r, 40)}" for e in edited])
+    assert len(near) > len(items) // 2
+    return sum(any(h[0] == i for h in hits[i]) for i in near) / len(near)
+
+
+def made_up(r, n, count):
+    return [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(n)) for _ in range(count)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 8, 16, 40])
+def test_recall_down_to_the_limit(n):
+    r = random.Random(n)
+    items = made_up(r, n, 100)
+    assert recall(r, items, [edits(r, t) for t in items]) >= 0.9
+    assert recall(r, items, [" ".join([typo(r, t.split()[0]), *t.split()[1:]]) for t in items]) >= 0.9
+
+
 # Katz.
 def test_katz(spark):
     from brute_katz import scores
