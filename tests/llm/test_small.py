@@ -226,6 +226,13 @@ def test_recall_down_to_the_limit(n):
     assert recall(r, items, [" ".join([typo(r, t.split()[0]), *t.split()[1:]]) for t in items]) >= 0.9
 
 
+@pytest.mark.parametrize("n, share", [(16, 0.8), (40, 0.8), (16, 1.0), (40, 1.0)])
+def test_recall_where_few_words_agree(n, share):
+    r = random.Random(n)
+    items = made_up(r, n, 100)
+    assert recall(r, items, [" ".join(typo(r, w) if r.random() < share else w for w in t.split()) for t in items]) >= 0.9
+
+
 # Katz.
 def test_katz(spark):
     from brute_katz import scores
