@@ -233,6 +233,15 @@ def test_recall_where_few_words_agree(n, share):
     assert recall(r, items, [" ".join(typo(r, w) if r.random() < share else w for w in t.split()) for t in items]) >= 0.9
 
 
+def test_distances_count_characters(spark):
+    item = "la acción según él está aquí así también allí mañana café día niño más río corazón jardín"
+    plain = item.translate(str.maketrans("áéíóúñ", "aeioun"))
+    far = "".join("z" if i % 4 == 0 and c != " " else c for i, c in enumerate(item))
+    bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    rows = decontaminate.scan(docs_of(spark, [f"uno dos {plain} tres", f"uno dos {far} tres"]), bench).collect()
+    assert [(x.doc_id, x.item_id, x.distance, x.item_chars, x.first_word, x.n_words) for x in rows] == [(0, 0, sum(a != b for a, b in zip(item, plain)), len(item), 2, len(item.split()))]
+
+
 # Katz.
 def test_katz(spark):
     from brute_katz import scores
