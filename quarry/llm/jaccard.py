@@ -9,10 +9,12 @@ candidate clusters that no link leaves.
 Within a cluster the count vectors do the work: shingles are hashed into GROUPS groups, and a set is the point of its
 group counts. An R-tree over the points bounds the overlap with everything below a tree node by the summed minima of
 the query's coordinates and the node's upper corner; what reaches the required overlap at the leaves is verified on the
-sets. Pairs that are in one component already need no verification. A cluster of more than CELL nodes is dealt into
-cells, and each pair of cells is a task of its own; the links found join into components in Spark.
+sets. A cluster of more than CELL nodes is dealt into cells, and each pair of cells is a task of its own. It gives the
+number of links of each node, weighted by documents, and of the links only those that span its components, which join
+into components in Spark: a group's links grow with its square, what is written does not.
 
-Defined cases: without words the set is empty, n_shingles 0, linked with nothing and its own component; one or two
+Defined cases: n_links counts the other documents (doc_ids) that a document is linked with, equal sets included;
+without words the set is empty, n_shingles 0, linked with nothing and its own component; one or two
 words are one shingle; a null doc_id is never linked and its component is null; rows repeating a doc_id should repeat
 its text (each row gets its own set's component). Extra columns are not read. Hashes have 64 bits.
 """
@@ -181,13 +183,16 @@ class RTree:
         return who[fit], self.order[at[fit]], bound[fit]
 
 
-def link(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that span the components within sets, or between sets and other (whose numbers follow on)."""
+def link(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int, docs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that span the components within sets, or between sets and other (whose numbers follow on), and of each set the documents of all sets it is linked with (docs: of each)."""
     every = sets + (other or [])
     n = np.array([len(s) for s in every], np.int64)
     points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in every]).astype(np.int32)
     inside = range(len(sets)) if other is None else range(len(sets), len(every))
     tree = RTree(points[inside.start : inside.stop], n[inside.start : inside.stop])
+    names, ids = np.unique(np.concatenate(every), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(n)))
+    marked = np.zeros(len(names), np.int32)
     parent = list(range(len(every)))
 
     def find(x: int) -> int:
@@ -196,48 +201,64 @@ def link(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int) -
             x = parent[x]
         return x
 
-    out = []
+    out, links = [], np.zeros(len(every), np.int64)
     for at in range(0, len(sets), 128):
         q = np.arange(at, min(at + 128, len(sets)))
-        who, point, bound = tree.query(points[q], n[q], percent)
+        who, point, _ = tree.query(points[q], n[q], percent)
         a, b = q[who], point + inside.start
         if other is None:
-            a, b, bound = a[a < b], b[a < b], bound[a < b]
-        # The likeliest first: once they have joined components, most others need no look.
-        for i in np.argsort(-bound / (n[a] + n[b]), kind="stable"):
-            x, y = int(a[i]), int(b[i])
-            rx, ry = find(x), find(y)
-            if rx == ry:
+            a, b = a[a < b], b[a < b]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        edges = np.searchsorted(a, np.arange(q[0], q[-1] + 2))
+        for x, lo, hi in zip(q.tolist(), edges.tolist(), edges[1:].tolist()):
+            if lo == hi:
                 continue
-            both = np.concatenate((every[x], every[y]))
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            if 100 * common >= percent * (len(both) - common):
-                parent[ry] = rx
-                out.append((x, y))
-    return out
+            ys = b[lo:hi]
+            mine = ids[starts[x] : starts[x + 1]]
+            marked[mine] = 1
+            ends = np.cumsum(n[ys])
+            spots = np.arange(ends[-1]) + np.repeat(starts[ys] - (ends - n[ys]), n[ys])
+            common = np.add.reduceat(marked[ids[spots]], ends - n[ys])
+            marked[mine] = 0
+            ys = ys[100 * common.astype(np.int64) >= percent * (n[x] + n[ys] - common)]
+            links[x] += docs[ys].sum()
+            links[ys] += docs[x]
+            for y in ys.tolist():
+                rx, ry = find(x), find(y)
+                if rx != ry:
+                    parent[ry] = rx
+                    out.append((x, y))
+    return out, links
 
 
 def _linker(percent: int):
-    """Rows (cluster, i, j, side, node, set), sorted: links of each cell pair, as (a, b)."""
+    """Rows (cluster, i, j, side, node, docs, set), sorted: of each cell pair the spanning links, as (a, b, null), and the numbers of links, as (a, null, n_links)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cells = None, ({}, {})
+        now, cells, docs = None, ({}, {}), ({}, {})
 
         def done() -> pa.RecordBatch:
             first, second = cells
             names = [*first, *second]
-            links = link(list(first.values()), list(second.values()) or None, percent) if first and (second or now[1] == now[2]) else []
-            cells[0].clear(), cells[1].clear()
-            return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in links], pa.int64()), pa.array([names[y] for _, y in links], pa.int64())], names=["a", "b"])
+            spans, links = [], np.zeros(0, np.int64)
+            if first and (second or now[1] == now[2]):
+                spans, links = link(list(first.values()), list(second.values()) or None, percent, np.array([*docs[0].values(), *docs[1].values()], np.int64))
+            some = np.flatnonzero(links).tolist()
+            for held in (*cells, *docs):
+                held.clear()
+            a = [names[x] for x, _ in spans] + [names[x] for x in some]
+            b = [names[y] for _, y in spans] + [None] * len(some)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(spans) + links[some].tolist(), pa.int64())], names=["a", "b", "n_links"])
 
         for batch in batches:
-            for *key, side, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, side, node, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != now:
                     if now is not None:
                         yield done()
                     now = key
                 cells[side][node] = np.frombuffer(raw, np.uint64)
+                docs[side][node] = n
         if now is not None:
             yield done()
 
@@ -245,7 +266,7 @@ def _linker(percent: int):
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id, n_links of every row."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     table = cut(signatures(docs, k, percent), "jaccard-sets")
@@ -257,10 +278,10 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     stars = cut(pairs.join(F.broadcast(shared) if few else shared, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
     release(spark)
     clusters = cut(components(stars).withColumnRenamed("root", "cluster"), "jaccard-clusters")
-    least = cut(named.groupBy("node").agg(F.min("doc_id").alias("least")), "jaccard-least")
+    least = cut(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("docs")), "jaccard-least")
     cells = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("cells"))
     cells = cut(cells, "jaccard-sizes")
-    members = cut(clusters.join(cells, "cluster").join(least, "node").select("node", "cluster", "cells", F.col("least").alias("doc_id")), "jaccard-members")
+    members = cut(clusters.join(cells, "cluster").join(least, "node").select("node", "cluster", "cells", "docs", F.col("least").alias("doc_id")), "jaccard-members")
 
     n_members = members.count()
     reps = members.select("doc_id").distinct()
@@ -273,24 +294,26 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "set"])
         trim()
 
-    placed = members.select("node", "cluster", "cells", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell")).join(read.mapInArrow(sets, "node bigint, set binary"), "node")
+    placed = members.select("node", "cluster", "cells", "docs", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell")).join(read.mapInArrow(sets, "node bigint, set binary"), "node")
     # A cell meets every cell of its cluster once; a set goes to `cells` tasks, most often to one.
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    met = met.select("cluster", F.least("cell", "with").alias("i"), F.greatest("cell", "with").alias("j"), F.when(F.col("cell") > F.col("with"), 1).otherwise(0).alias("side"), "node", "set")
+    met = met.select("cluster", F.least("cell", "with").alias("i"), F.greatest("cell", "with").alias("j"), F.when(F.col("cell") > F.col("with"), 1).otherwise(0).alias("side"), "node", "docs", "set")
     met = met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "node")
-    links = cut(met.mapInArrow(_linker(percent), "a bigint, b bigint"), "jaccard-links")
+    links = cut(met.mapInArrow(_linker(percent), "a bigint, b bigint, n_links bigint"), "jaccard-links")
     release(spark)
-    linked = components(links)
-    classes = least.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = components(links.where("b IS NOT NULL").select("a", "b"))
+    numbers = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("others"))
+    classes = least.join(linked, "node", "left").join(numbers, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-roots")
-    of_node = cut(classes.select("node", "root").join(of_root, "root").select("node", "component_id"), "jaccard-components")
+    of_node = cut(classes.select("node", "root", (F.coalesce("others", F.lit(0)) + F.col("docs") - 1).alias("n_links")).join(of_root, "root").select("node", "component_id", "n_links"), "jaccard-components")
     out = table.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     empty = F.when(F.col("node").isNull(), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", empty)).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", empty)).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The contract's columns of join()."""
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 #: Shingle size and least similarity where no contract says otherwise.

@@ -121,6 +121,20 @@ def test_large_cluster_in_cells(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("cell", [8, 1024])
+def test_jaccard_numbers_of_links(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    r = random.Random(4)
+    base = prose(r, 80).split()
+    texts = [" ".join([*base[:i], *["changed"] * (i % 3), *base[i + i % 3 :]]) for i in range(0, 60)] + [" ".join(base)] * 3 + ["", None, "x"]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w := (t or "").split()) > 2 else set(w) for t in texts]
+    want = {i: sum(i != j and bool(a) and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    rows = docs_of(spark, texts)
+    got = jaccard.join(rows.unionByName(rows.where("doc_id = 0")).unionByName(rows.where("doc_id = 5").withColumn("doc_id", common.F.lit(None).cast("long")))).collect()
+    assert {x.doc_id: x.n_links for x in got} == {**want, None: 0} and len(got) == len(texts) + 2
+    assert len({want[i] for i in range(60)}) > 1
+
+
 def test_rtree_equals_all_pairs():
     r = np.random.default_rng(0)
     sizes = r.integers(5, 60, 300)
