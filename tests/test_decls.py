@@ -38,10 +38,14 @@ def test_types_and_members(spark):
     assert kept(spark, occ, defs) == [("", "open"), ("ex/diag", "Read"), ("p.Foo", "hashCode")]
 
 
-def test_crate_aliases(spark):
-    defs = [("l.rs", "rust", "scope", "grep_cli\0read", ""), ("l.rs", "rust", "scope", "grep_cli::sub\0go", ""), ("r.rs", "rust", "alias", "grep::cli", "grep_cli")]
+def test_an_alias_moves_whole_subtrees_only(spark):
+    """Every item below an aliased path is declared under the public name too; a longer crate name is another crate."""
+    items = ["quay\0dock", "quay::berth\0moor", "quays\0other", "quay::berth::rope\0tie"]
+    aliases = [("port::pier", "quay"), ("port::slip", "quay::berth")]
+    defs = [("x.rs", "rust", "scope", k, "") for k in items] + [("y.rs", "rust", "alias", k, v) for k, v in aliases]
     keys = {r.key for r in scopes(spark.createDataFrame(defs, DEF)).collect()}
-    assert keys == {"grep_cli\0read", "grep_cli::sub\0go", "grep::cli\0read", "grep::cli::sub\0go"}
+    moved = {public + k[len(target) :] for public, target in aliases for k in items if k.startswith((f"{target}\0", f"{target}::"))}
+    assert keys == {*items} | moved and len(moved) == 5
 
 
 def test_unused_modules(spark):

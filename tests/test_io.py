@@ -99,13 +99,14 @@ def test_declared_names_go(spark, plant):
     assert {x for x in caught if x[0] == "kotlin"} == {("kotlin", "p.Foo", "walk"), ("kotlin", "p.Bar", "x")}
 
 
-def test_workspace_modules_are_own(spark, plant):
-    root = plant({
-        "pkgs/kit/package.json": '{"name": "kit", "imports": {"#shape/*": "./s/*.ts"}, "exports": {".": "./i.js", "./run": "./r.js"}}', "pkgs/site/tsconfig.base.json": '{"compilerOptions": {"paths": {"~lib": ["./l.ts"]}}}', "pkgs/bad/package.json": "{",
-        "pkgs/site/a.ts": "import { edit } from '~lib'\nimport { start } from 'kit'\nimport { R } from 'kit/run'\nimport { T } from '#shape/round'\nimport { read } from 'kit/src/deep'\nimport fs from 'node:fs'\nedit(); start(); R(); T(); read(); fs.readFileSync('a')\n",
-    })
+def test_modules_that_the_workspace_names(spark, plant):
+    """Names from packages, their exports and imports, and compiler paths are the corpus's own; others are not."""
+    package = {"name": "@mill/grain", "exports": {"./sieve": "./a.js", "default": "./b.js"}, "imports": {"#wheel/*": "./w/*.js", "hub": "./h.js"}}
+    used = ["@mill/grain", "@mill/grain/sieve", "#wheel/big/rim", "$mix/dough/fine", "@mill/grain/hidden", "hub", "$mix", "node:net"]
+    calls = "".join(f"import {{ c{i} }} from '{m}';\nc{i}();\n" for i, m in enumerate(used))
+    root = plant({"mill/package.json": json.dumps(package), "shop/tsconfig.json": json.dumps({"compilerOptions": {"paths": {"$mix/*": ["x"]}}}), ".cache/package.json": '{"name": "hub"}', "shop/counter.mts": calls})
     caught, _ = seen(spark, root)
-    assert caught == {("typescript", "kit/src/deep", "read"), ("typescript", "node:fs", "readFileSync")}
+    assert {m for _, m, _ in caught} == set(used[4:])
 
 
 def test_shell_forms(spark, plant):
@@ -133,13 +134,32 @@ def test_two_roots_share_declarations(spark, plant):
     assert caught == {("php", "", "unlink")} and report.to_dict()["files"][0]["path"] == "one/a.php" and report.root == f"{left}\n{right}"
 
 
-def test_walk(spark, plant):
-    root = plant({
-        ".gitignore": "ignored.txt\nskipped_dir/\n", "keep.py": "", "ignored.txt": "s", "nested/ok.txt": "ok", "nested/build/lib.go": "package build\n", "data/build/x.json": "{}", "skipped_dir/a.py": "", ".git/HEAD": "x",
-        "vendor/l.go": "", "build/out.o": "x", "binary.dat": b"hello\0world", "late.dat": b"a" * 8192 + b"\0", "big.bin": b"a" * (10 * 1024 * 1024 + 1), "empty/__init__.py": "",
-    })
-    rows = read_tree(spark, [root], mode="code").where("fate = 'file'").select(F.concat_ws("/", F.nullif("dir", F.lit("")), "name").alias("p")).collect()
-    assert {r.p for r in rows} == {".gitignore", "keep.py", "nested/ok.txt", "nested/build/lib.go", "late.dat", "empty/__init__.py"}
+def listed(spark, root, **more):
+    rows = read_tree(spark, [root], **{"mode": "code"} | more).select("fate", F.concat_ws("/", F.nullif("dir", F.lit("")), "name").alias("p")).collect()
+    return {r.p for r in rows if r.fate == "file"}, {r.p for r in rows if r.fate == "skip"}
+
+
+def test_what_is_too_large_or_binary(spark, plant):
+    from quarry.sources.tree import BINARY_PROBE, MOST_BYTES
+
+    zeros = {"at_once": b"\0", "in_probe": b"." * (BINARY_PROBE - 1) + b"\0", "past_probe": b"." * BINARY_PROBE + b"\0", "as_utf16": "hej".encode("utf-16")}
+    root = plant({**zeros, "full": b"." * MOST_BYTES, "over": b"." * (MOST_BYTES + 1), "none": b""})
+    assert listed(spark, root)[0] == {"past_probe", "as_utf16", "full", "none"}
+    assert listed(spark, root, mode="tree")[0] == {*zeros, "full", "over", "none"}
+
+
+def test_what_is_not_entered(spark, plant):
+    root = plant({".gitignore": "*.tmp\n/quiet\n", "attic/box.tmp": "", "attic/box.c": "", "quiet/c.c": "", "attic/quiet/d.c": "", "attic/dist/e.c": "", "attic/.git/f.c": "", "yard/build/g.rs": "", "yard/build/h.o": "", "hall/build/i.o": ""})
+    assert listed(spark, root) == ({".gitignore", "attic/box.c", "attic/quiet/d.c", "yard/build/g.rs", "yard/build/h.o"}, {"attic/dist", "hall/build"})
+    files, skipped = listed(spark, root, ignore=False)
+    assert not skipped and {"attic/box.tmp", "quiet/c.c", "attic/dist/e.c", "hall/build/i.o"} <= files and "attic/.git/f.c" not in files
+
+
+def test_links_are_not_followed(spark, plant, tmp_path):
+    root = plant({"real/x.py": ""})
+    (tmp_path / "also").symlink_to(tmp_path / "real")
+    (tmp_path / "y.py").symlink_to(tmp_path / "real" / "x.py")
+    assert listed(spark, root)[0] == {"real/x.py"}
 
 
 def test_cli(spark, plant, tmp_path, capsys):
