@@ -63,7 +63,8 @@ def shell_functions(defs: DataFrame) -> DataFrame:
 
 def without_internal(occurrences: DataFrame, defs: DataFrame) -> DataFrame:
     """The occurrences that no declaration of the corpus explains."""
-    rows = occurrences.withColumn("id", F.xxhash64("path", "language", "module", "symbol", "line", "skips_function", "owner"))
+    # An occurrence is told by all its columns: equal ones share their fate, and no hash can mistake one for another.
+    rows = occurrences.withColumn("id", F.struct("path", "language", "module", "symbol", "line", "skips_function", F.coalesce("owner", F.lit("")).alias("owner")))
     powershell = F.col("language") == "powershell"
     symbol = F.when(powershell, F.lower("symbol")).otherwise(F.col("symbol"))
     functions = defs.where("kind = 'function'").select(_group(F.col("language"), FUNCTION_GROUPS).alias("grp"), F.when(powershell, F.lower("k")).otherwise(F.col("k")).alias("key")).where("grp IS NOT NULL").distinct()

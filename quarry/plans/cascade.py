@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.label_table import KINDS
+from quarry.operators.closure import written
 from quarry.operators.labels import KEY, known, label
 
 PROMPT_VERSION = "3"
@@ -64,12 +65,22 @@ class LabelCache:
         full.coalesce(1).write.mode("append").parquet(self.path)
 
 
+def batched(symbols: DataFrame, size: int = BATCH) -> DataFrame:
+    """language, batch, names of distinct symbols, cut in the order of language, module and symbol.
+
+    Numbers come from ranges that are sorted on their own, and from the sizes of those before: no language is one task.
+    """
+    ranged = written(symbols.select(*KEY).repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "batches")
+    sizes = ranged.groupBy("language", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("language", "part", (F.sum("n").over(Window.partitionBy("language").orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("language", "part").orderBy("module", "symbol"))
+    numbered = ranged.withColumn("place", place).join(before, ["language", "part"]).select(*KEY, F.floor((F.col("place") + F.col("before") - 1) / size).alias("batch"))
+    return numbered.groupBy("language", "batch").agg(F.array_sort(F.collect_list(F.struct("module", "symbol"))).alias("names"))
+
+
 def batches(symbols: DataFrame, size: int = BATCH) -> Iterator[tuple[str, list[Name]]]:
-    """(language, names) in order of language, module and symbol; at most one batch is held at a time."""
-    place = F.row_number().over(Window.partitionBy("language").orderBy("module", "symbol"))
-    numbered = symbols.select(*KEY, F.floor((place - 1) / size).alias("batch"))
-    grouped = numbered.groupBy("language", "batch").agg(F.array_sort(F.collect_list(F.struct("module", "symbol"))).alias("names"))
-    for row in grouped.orderBy("language", "batch").toLocalIterator():
+    """(language, names) of batched(), in order; at most one partition of them is held at a time."""
+    for row in batched(symbols, size).orderBy("language", "batch").toLocalIterator():
         yield row["language"], [(n["module"], n["symbol"]) for n in row["names"]]
 
 

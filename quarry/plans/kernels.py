@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry import registry
 from quarry.functions.fileclass import SUFFIXES, language_of
-from quarry.functions.label_table import label_table
+from quarry.functions.label_table import POWERSHELL_NOT_IO, label_table, rows
 from quarry.operators.closure import closure
+from quarry.operators.decls import drop_unused_modules, without_internal
 from quarry.operators.labels import known, label
+from quarry.operators.report import lines_by_file
 from quarry.operators.tree import ordered_counts, prefixes, summarize
+from quarry.plans.cascade import batched, cache_key
+from quarry.plans.io_report import drop_own_includes, nearest_packages, workspace_specifiers
 
 PATHS_SQL = r"""
 WITH u AS (
@@ -86,43 +89,68 @@ def suffix_label(spark, sf_dir):
 
 @_query(
     PATHS_SQL
-    + """, f AS (SELECT page_id, host, parts[1:len(parts) - 1] AS q FROM p), m AS (SELECT host, q, min(page_id) AS manifest FROM f JOIN pages USING (page_id) WHERE contains(url, '?') GROUP BY 1, 2),
+    + """, f AS (SELECT page_id, host, parts[1:len(parts) - 1] AS q FROM p), m AS (SELECT host, q, min(page_id) AS page FROM f JOIN pages USING (page_id) WHERE contains(url, '?') GROUP BY 1, 2),
 a AS (SELECT page_id, host, q[1:i] AS q, i FROM (SELECT page_id, host, q, unnest(range(0, len(q) + 1)) AS i FROM f))
-SELECT f.page_id, r.manifest FROM f LEFT JOIN (SELECT a.page_id, arg_max(m.manifest, a.i) AS manifest FROM a JOIN m ON a.host = m.host AND a.q = m.q GROUP BY 1) r USING (page_id)"""
+SELECT f.page_id, array_to_string(r.q, '/') AS package_dir, 'p' || r.page AS package FROM f LEFT JOIN (SELECT a.page_id, arg_max(m.page, a.i) AS page, arg_max(m.q, a.i) AS q FROM a JOIN m ON a.host = m.host AND a.q = m.q GROUP BY 1) r USING (page_id)"""
 )
 def nearest_ancestor(spark, sf_dir):
-    """For every page the manifest in the nearest directory above it (pages with a query in their URL stand for manifests)."""
-    paths = _paths(spark, sf_dir).select("page_id", "host", F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), "/").alias("dir"))
-    manifests = paths.join(_table(spark, sf_dir, "pages").where(F.col("url").contains("?")).select("page_id"), "page_id").groupBy("host", "dir").agg(F.min("page_id").alias("manifest"))
-    above = paths.select("page_id", "host", F.posexplode(prefixes(F.col("dir"))).alias("at", "dir"))
-    nearest = above.join(manifests, ["host", "dir"]).groupBy("page_id").agg(F.max_by("manifest", "at").alias("manifest"))
-    return paths.select("page_id").join(nearest, "page_id", "left")
+    """nearest_packages over the URL trees: pages are scripts, and a folder with a queried page has a package.json named after the first."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("url").contains("?").alias("asked"))
+    where = _paths(spark, sf_dir).select("page_id", F.col("host").alias("root_no"), F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), "/").alias("dir"))
+    scripts = where.select("root_no", "dir", F.lit("x.ts").alias("name"), F.lit(b"").alias("content"), "page_id")
+    named = where.join(pages.where("asked"), "page_id").groupBy("root_no", "dir").agg(F.min("page_id").alias("page"))
+    content = F.concat(F.lit('{"name": "p'), F.col("page").cast("string"), F.lit('"}')).cast("binary")
+    listing = scripts.unionByName(named.select("root_no", "dir", F.lit("package.json").alias("name"), content.alias("content"), F.lit(None).cast("long").alias("page_id")))
+    return nearest_packages(listing).where("name = 'x.ts'").select("page_id", "package_dir", "package")
 
 
-@_query(PATHS_SQL + "SELECT host, suffix, count(*) AS n FROM (SELECT host, array_to_string(parts[i:len(parts)], '/') AS suffix FROM (SELECT host, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)) GROUP BY ALL")
+@_query(
+    PATHS_SQL
+    + """, s AS (SELECT DISTINCT host, array_to_string(parts[i:len(parts)], '/') AS suffix FROM (SELECT host, parts, unnest(range(1, len(parts) + 1)) AS i FROM p JOIN pages USING (page_id) WHERE contains(url, '#') AND len(parts) > 0)),
+o AS (SELECT page_id, host, array_to_string(parts[greatest(1, len(parts) - page_id % 3):len(parts)], '/') AS include FROM p)
+SELECT page_id, o.host, include FROM o LEFT JOIN s ON o.host = s.host AND o.include = s.suffix WHERE s.suffix IS NULL"""
+)
 def path_suffix_index(spark, sf_dir):
-    """Every suffix of every path, by host."""
-    paths = _paths(spark, sf_dir).where(F.size("parts") > 0)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))
-    return paths.select("host", F.explode(suffixes).alias("suffix")).groupBy("host", "suffix").agg(F.count("*").alias("n"))
+    """drop_own_includes: every page includes the end of its path; the corpus has the pages whose URL holds a fragment."""
+    paths = _paths(spark, sf_dir)
+    size = F.size("parts")
+    first = F.greatest(F.lit(1), size - (F.col("page_id") % 3).cast("int"))
+    dots = F.when(F.col("page_id") % 2 == 0, "./").otherwise("")
+    includes = paths.select("page_id", F.col("host").alias("root_no"), F.concat(dots, F.array_join(F.slice("parts", first, size), "/")).alias("include"))
+    own = paths.join(_table(spark, sf_dir, "pages").where(F.col("url").contains("#")).select("page_id"), "page_id").where(size > 0)
+    listing = own.select(F.col("host").alias("root_no"), F.array_join(F.slice("parts", 1, size - 1), "/").alias("dir"), F.element_at("parts", -1).alias("name"))
+    return drop_own_includes(includes, listing).select("page_id", F.col("root_no").alias("host"), "include")
 
 
 @_query(
-    """SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND (l.doc_id = d.doc_id OR l.doc_id = d.doc_id + 1 OR l.doc_id = d.doc_id * 2))"""
+    """SELECT d.doc_id FROM documents d WHERE
+NOT (coalesce(lang, '') = 'en' AND EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id))
+AND NOT (coalesce(lang, '') IN ('fr', 'es') AND EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1 AND (l.doc_id = d.doc_id OR l.doc_id = d.doc_id + 1 AND d.doc_id % 2 = 0)))"""
 )
 def exploded_key_anti_join(spark, sf_dir):
-    """Documents none of whose candidate keys is declared: alternatives as exploded keys, not as an OR."""
-    declared = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("key")).distinct()
-    docs = _table(spark, sf_dir, "documents").select("doc_id")
-    keys = docs.select("doc_id", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1, F.col("doc_id") * 2)).alias("key"))
-    return docs.join(keys.join(declared, "key", "left_semi").select("doc_id").distinct(), "doc_id", "left_anti")
-
-
-@_query("SELECT conv_id, turn, role FROM (SELECT *, bool_or(role = 'assistant') OVER (PARTITION BY conv_id) AS used FROM conversations) WHERE role <> 'user' OR NOT used")
+    """without_internal: English documents call a C function, German ones a PHP one, the others Java or Kotlin members; labels declare some."""
+    lang, of = F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")
+    jvm = lang.isin("fr", "es")
+    language = F.when(lang == "en", "c").when(lang == "de", "php").when(lang == "fr", "java").when(lang == "es", "kotlin").otherwise("go")
+    calls = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("d"), of).alias("path"), language.alias("language"), F.when(jvm, F.concat(F.lit("p.T"), of)).otherwise("").alias("module"), F.when(jvm, F.lit("run")).otherwise(F.concat(F.lit("f"), of)).alias("symbol"),
+        F.lit(1).alias("line"), F.lit(False).alias("skips_function"), F.lit(None).cast("string").alias("owner"),
+    )
+    labels = _table(spark, sf_dir, "labels").where("doc_id IS NOT NULL")
+    define = lambda rows, language, kind, key: rows.select(F.lit("x").alias("path"), F.lit(language).alias("language"), F.lit(kind).alias("kind"), key.alias("k"), F.lit("").alias("v"))
+    member = lambda n: F.concat(F.lit("p.T"), n.cast("string"), F.lit("\0run"))
+    good = labels.where("quality = 1")
+    defs = define(labels.where("toxic = 1"), "cpp", "function", F.concat(F.lit("f"), F.col("doc_id").cast("string"))).unionByName(define(good, "kotlin", "scope", member(F.col("doc_id"))))
+    # The member of a companion object counts as its type's.
+    companion = F.concat(F.lit("p.T"), (F.col("doc_id") - 1).cast("string"), F.lit(".Companion\0run"))
+    return without_internal(calls, defs.unionByName(define(good.where("doc_id % 2 = 1"), "java", "scope", companion))).select("doc_id")
+
+
+@_query("SELECT conv_id, turn, role FROM (SELECT *, bool_or(role <> 'user') OVER (PARTITION BY conv_id) AS used FROM conversations) WHERE role <> 'user' OR NOT used")
 def unused_group_drop(spark, sf_dir):
-    """User turns go where the conversation has an assistant's turn: a group's bare rows go if it has others."""
-    rows = _table(spark, sf_dir, "conversations").withColumn("used", F.max(F.col("role") == "assistant").over(Window.partitionBy("conv_id")))
-    return rows.where((F.col("role") != "user") | ~F.coalesce("used", F.lit(False))).select("conv_id", "turn", "role")
+    """drop_unused_modules: a conversation is a file that imports a module; a user's turn is the bare import, the others use it."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("conv_id").cast("string").alias("path"), F.lit("m").alias("module"), F.when(F.col("role") == "user", "").otherwise(F.col("role")).alias("symbol"))
+    return drop_unused_modules(turns).select("conv_id", "turn", "role")
 
 
 @_query(
@@ -135,38 +163,50 @@ def transitive_closure(spark, sf_dir):
     return closure(edges)
 
 
+_LISTED = [
+    ("ECONOMY", "B1.C2", "filesystem", False), ("SMALL.B0", "C1", "network", False), ("LARGE", "C2", "process", False), ("STANDARD.B3", "", "database", True), ("SMALL", "C1", "service", False), ("MEDIUM.B2", "", "service", False), ("ECONOMY.B4", "", "network", True),
+    ("ECONOMY.B4", "C0", "process", False),
+]
+
+
 @_query(
-    """WITH t(word, ord, kind) AS (VALUES ('STEEL', 1, 'metal'), ('BRASS', 2, 'metal'), ('LARGE', 3, 'size'), ('SMALL', 4, 'size'), ('STANDARD', 5, 'make')),
-w AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part)
-SELECT p.p_partkey, m.kind FROM part p LEFT JOIN (SELECT p_partkey, arg_min(kind, ord) AS kind FROM w JOIN t USING (word) GROUP BY 1) m USING (p_partkey)"""
+    f"""WITH t(m, s, kind, whole) AS (VALUES {", ".join(f"('{m}', '{s}', '{k}', {w})" for m, s, k, w in _LISTED)}),
+p AS (SELECT DISTINCT p_type AS m, 'B' || p_partkey % 5 AS b, 'C' || p_partkey % 3 AS c FROM part)
+SELECT m AS module, b || '.' || c AS symbol, coalesce((SELECT kind FROM t WHERE t.m = p.m AND t.s = b || '.' || c), (SELECT kind FROM t WHERE t.m = p.m || '.' || b AND t.s = c), (SELECT kind FROM t WHERE t.m = p.m AND t.s = c),
+(SELECT kind FROM t WHERE t.m = p.m || '.' || b AND t.s = '' AND whole)) AS kind FROM p"""
 )
 def first_match_label(spark, sf_dir):
-    """The first of an ordered list of words that a part's type holds decides its label."""
-    table = spark.createDataFrame([("STEEL", 1, "metal"), ("BRASS", 2, "metal"), ("LARGE", 3, "size"), ("SMALL", 4, "size"), ("STANDARD", 5, "make")], "word string, ord int, kind string")
-    part = _table(spark, sf_dir, "part")
-    hits = part.select("p_partkey", F.explode(F.split("p_type", " ")).alias("word")).join(F.broadcast(table), "word").groupBy("p_partkey").agg(F.min_by("kind", "ord").alias("kind"))
-    return part.select("p_partkey").join(hits, "p_partkey", "left")
+    """label with a table of its own: the first probe of a dotted name that is listed decides."""
+    table = spark.createDataFrame([("python", m, s, [k], w) for m, s, k, w in _LISTED], "language string, module string, symbol string, kinds array<string>, whole boolean")
+    n = lambda prefix, by: F.concat(F.lit(prefix), (F.col("p_partkey") % by).cast("string"))
+    symbols = _table(spark, sf_dir, "part").select(F.lit("python").alias("language"), F.col("p_type").alias("module"), F.concat(n("B", 5), F.lit("."), n("C", 3)).alias("symbol"))
+    return label(symbols, table).select("module", "symbol", F.try_element_at("kinds", F.lit(1)).alias("kind"))
 
 
-@_query("SELECT doc_id, lang, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) - 1) / 30) AS BIGINT) AS batch FROM documents")
+@_query(
+    """WITH s AS (SELECT DISTINCT coalesce(lang, '') AS language, coalesce(source, '') AS module, doc_id::VARCHAR AS symbol FROM documents), n AS (SELECT *, (row_number() OVER (PARTITION BY language ORDER BY module, symbol) - 1) // 30 AS batch FROM s)
+SELECT language, CAST(batch AS BIGINT) AS batch, count(*) AS n, min(module || '/' || symbol) AS first, max(module || '/' || symbol) AS last FROM n GROUP BY 1, 2"""
+)
 def batches_of_30(spark, sf_dir):
-    """Batches of thirty within each language, in order."""
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id"))
-    return _table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor((n - 1) / 30).alias("batch"))
+    """The cascade's batches of thirty names in each language, in order."""
+    symbols = _table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("module"), F.col("doc_id").cast("string").alias("symbol")).distinct()
+    spelled = F.transform("names", lambda n: F.concat(n["module"], F.lit("/"), n["symbol"]))
+    return batched(symbols, 30).select("language", "batch", F.size("names").cast("long").alias("n"), F.array_min(spelled).alias("first"), F.array_max(spelled).alias("last"))
 
 
 @_query("SELECT doc_id, sha256('3' || chr(0) || 'm' || chr(0) || coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(0) || doc_id::VARCHAR) AS cache_key FROM documents")
 def cache_key_sha256(spark, sf_dir):
-    """Keys of a label cache: SHA-256 of NUL-joined fields."""
-    parts = F.concat_ws("\0", F.lit("3"), F.lit("m"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(parts.cast("binary"), 256).alias("cache_key"))
+    """The label cache's key of every document taken as a name: SHA-256 of NUL-joined fields."""
+    names = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("module"), F.col("doc_id").cast("string").alias("symbol"))
+    return names.select("doc_id", cache_key("m").alias("cache_key"))
 
 
-@_query("SELECT role, conv_id, array_to_string(list_sort(list(DISTINCT turn)), ',') AS turns FROM conversations GROUP BY ALL")
+@_query("SELECT role, conv_id, array_to_string(list_sort(list(DISTINCT turn)), ',') AS turns FROM conversations WHERE role <> 'user' GROUP BY ALL")
 def lines_by_group(spark, sf_dir):
-    """Sorted distinct turns of each conversation and role."""
-    grouped = _table(spark, sf_dir, "conversations").groupBy("role", "conv_id").agg(F.array_sort(F.collect_set("turn")).alias("turns"))
-    return grouped.select("role", "conv_id", F.array_join(F.transform("turns", lambda t: t.cast("string")), ",").alias("turns"))
+    """lines_by_file: a conversation is a file, its roles are symbols, all but the user do I/O; their turns are the lines."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.lit("x").alias("language"), F.lit("").alias("module"), F.col("role").alias("symbol"), F.col("turn").alias("line"))
+    labels = turns.select("language", "module", "symbol").distinct().select("*", (F.col("symbol") != "user").alias("io"), F.array(F.lit("network")).alias("kinds"))
+    return lines_by_file(turns, labels).select(F.col("symbol").alias("role"), F.col("path").alias("conv_id"), F.array_join(F.transform("lines", lambda t: t.cast("string")), ",").alias("turns"))
 
 
 @_query("SELECT source, string_agg(lang || ' x' || n, '  ' ORDER BY n DESC, lang) AS counts FROM (SELECT source, coalesce(lang, 'none') AS lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
@@ -177,13 +217,23 @@ def ordered_language_counts(spark, sf_dir):
     return ordered.select("source", F.array_join(F.transform("c", lambda x: F.concat(x["name"], F.lit(" x"), x["n"].cast("string"))), "  ").alias("counts"))
 
 
-@_query("SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events WHERE json_valid(props)) GROUP BY key")
+@_query("SELECT DISTINCT user_id, unnest(json_keys(props)) AS spec FROM events WHERE json_valid(props)")
 def json_keys(spark, sf_dir):
-    """Keys of JSON objects; text that is no JSON has none."""
-    return _table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    """workspace_specifiers: an event's properties are the path map of its user's tsconfig.json; text that is no JSON has none."""
+    content = F.concat(F.lit('{"compilerOptions": {"paths": '), F.col("props"), F.lit("}}")).cast("binary")
+    listing = _table(spark, sf_dir, "events").select(F.col("user_id").alias("root_no"), F.lit("").alias("dir"), F.lit("tsconfig.json").alias("name"), content.alias("content"))
+    return workspace_specifiers(listing).select(F.col("root_no").alias("user_id"), "spec")
+
+
+def _static_sql() -> str:
+    """The fixed table as VALUES, with the rules for PowerShell names that go before and after it."""
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    listed = ", ".join(f"({', '.join(map(text, r))})" for r in rows())
+    silent = ", ".join(map(text, POWERSHELL_NOT_IO))
+    return f"SELECT language, module, symbol, kinds <> '' AS io, kinds FROM (SELECT language, module, symbol, CASE WHEN language = 'powershell' AND lower(symbol) IN ({silent}) THEN '' ELSE kind END AS kinds FROM (VALUES {listed}) AS t(language, module, symbol, kind))"
 
 
-@_query()
+@_query(_static_sql())
 def static_labels(spark, sf_dir):
     """The label of every name in the fixed table, looked up as a call would be."""
     table = label_table(spark)

@@ -51,7 +51,7 @@ def is_binary(probe: bytes) -> bool:
 
 
 def decode(data: bytes) -> str:
-    for name in (marked(data), cookie(data), wide(data), "utf-8", "cp1252"):
+    for name in (marked(data), cookie(data), wide(data), "utf-8"):
         if name:
             try:
                 return data.decode(name)
