@@ -325,7 +325,7 @@ def powershell(text: str, ctx: Context) -> Found:
 WRAPPERS = set("sudo command exec env nice nohup time xargs builtin".split())
 _SHELL_WORDS = set("if then elif else fi for while until do done case esac in select function { } ! [[ ]] time coproc end begin switch and or not".split())
 _SHELL_TOKEN = re.compile(
-    r"(?P<skip>(?<![^\s;|&(){}])\#[^\n]*|\\\n)|(?P<here><<-?\s*(?P<q>['\"]?)(?P<tag>\w+)(?P=q))|(?P<redir>(?:\d*|&)(?:>>|>\||>&|<<<|<>|>|<(?!\()))|(?P<nl>\n)|(?P<op>&&|\|\||;;|\|&|[;|&(){}](?=\s|$|[^\w])|[;|&()])"
+    r"(?P<skip>(?<![^\s;|&(){}])\#[^\n]*|\\\n)|(?P<here><<-?\s*(?P<q>['\"]?)(?P<tag>\w+)(?P=q))|(?P<redir>(?:\d*|&)(?:>>|>\||>&|<<<|<>|>|<(?!\()))|(?P<nl>\n)|(?P<op>&&|\|\||;;&?|;&|\|&|(?:[;|&()}]|\{(?!\}))(?=\s|$|[^\w])|[;|&()])"
     r"|(?P<word>(?:\$\((?=[^(])|`)|(?:[^\s;|&()<>`\"'$\\]|\\.|\"(?:[^\"\\]|\\.)*\"|'[^']*'|\$\{[^}]*\}|\$\(\([^\n]*?\)\)|\$'(?:[^'\\]|\\.)*'|\$(?!\())+)",
     re.S,
 )
@@ -381,10 +381,21 @@ def shell(text: str, ctx: Context) -> Found:
             value = _literal(m[2]) if not (i + 1 < len(marks) and m[2] == "" and marks[i + 1][1] in ("$(", "`")) else None
             values.setdefault((scope_of[i], m[1]), []).append(value)
     start, wrapped, skips, want_source = True, False, False, False
+    cases: list[str] = []  # of each open case what is read: its word, a pattern, or the commands of an arm
     i = 0
     while i < len(marks):
         k, x, line = marks[i]
-        if k == "nl" or k == "op":
+        if cases and cases[-1] == "word" and x == "in":
+            cases[-1], start = "pattern", False
+        elif cases and x == "esac" and (cases[-1] == "pattern" or start):
+            cases.pop()
+            start = False
+        elif cases and cases[-1] == "pattern":
+            if x == ")":
+                cases[-1], start, wrapped, skips = "arm", True, False, False
+        elif cases and cases[-1] == "arm" and k == "op" and x in (";;", ";&", ";;&"):
+            cases[-1], want_source = "pattern", False
+        elif k == "nl" or k == "op":
             start, wrapped, skips, want_source = x != ")", False, False, False
             if x == ")" and i and marks[i - 1][1] == "(":
                 start = True
@@ -410,6 +421,7 @@ def shell(text: str, ctx: Context) -> Found:
                 i += 2
             elif x in ("for", "case", "select") and not wrapped:
                 start = False
+                cases += ["word"] * (x == "case")
             elif x in _SHELL_WORDS and not wrapped:
                 pass
             elif re.match(r"\w+\+?=", x):

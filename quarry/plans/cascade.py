@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import re
 import sys
 import time
@@ -24,6 +25,8 @@ from quarry.operators.labels import KEY, known, label
 
 PROMPT_VERSION = "3"
 BATCH = 30
+#: Files of the cache beyond which it is compacted before it is read.
+MANY_FILES = 64
 CACHE = "cache_key string, prompt_version string, model string, language string, module string, symbol string, io boolean, kinds array<string>, created_at timestamp"
 Name = tuple[str, str]
 Verdict = tuple[bool, list[str]]
@@ -64,6 +67,20 @@ class LabelCache:
         full = frame.select(cache_key(model).alias("cache_key"), F.lit(PROMPT_VERSION).alias("prompt_version"), F.lit(model).alias("model"), *KEY, "io", "kinds", F.lit(at).cast("timestamp").alias("created_at"))
         full.coalesce(1).write.mode("append").parquet(self.path)
 
+    def compact(self) -> None:
+        """Keep the latest row of each key only, in as few files as that takes; earlier files go last."""
+        context = self.spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = where.getFileSystem(context._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return
+        old = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")]
+        if len(old) > MANY_FILES:
+            # A reader in between sees the old and the new rows, of which the latest are the same.
+            self.rows().write.mode("append").parquet(self.path)
+            for path in old:
+                fs.delete(path, False)
+
 
 def batched(symbols: DataFrame, size: int = BATCH) -> DataFrame:
     """language, batch, names of distinct symbols, cut in the order of language, module and symbol.
@@ -184,6 +201,35 @@ def patient(complete: Callable[[str], str], tries: int = 3, sleep: Callable[[flo
     return call
 
 
+#: Seconds that one completion may take.
+TIMEOUT = 60
+
+
+def default_cache() -> str:
+    """The folder of the label cache: below $XDG_CACHE_HOME, or ~/.cache."""
+    base = os.environ.get("XDG_CACHE_HOME") or os.path.join(os.path.expanduser("~"), ".cache")
+    return f"file://{os.path.join(base, 'quarry', 'labels')}"
+
+
+def provider(environment=os.environ) -> tuple[str, Callable[[str], str]] | None:
+    """(model, prompt -> reply) from QUARRY_MODEL and QUARRY_API_BASE; None without a model or the client library litellm."""
+    model = environment.get("QUARRY_MODEL", "").strip()
+    if not model:
+        return None
+    try:
+        import litellm
+    except ImportError:
+        return None
+    more = {"api_base": base} if (base := environment.get("QUARRY_API_BASE", "").strip()) else {}
+
+    def complete(text: str) -> str:
+        # Rate limits are waited out by patient(), not by the client.
+        made = litellm.completion(model=model, messages=[{"role": "user", "content": text}], temperature=0, timeout=TIMEOUT, max_retries=0, **more)
+        return made.choices[0].message.content or ""
+
+    return model, complete
+
+
 class Cascade:
     """A classifier for scan_io: symbols -> language, module, symbol, io, kinds."""
 
@@ -192,6 +238,7 @@ class Cascade:
         self.complete, self.usable = patient(complete), True
 
     def __call__(self, symbols: DataFrame) -> DataFrame:
+        self.cache.compact()
         fixed = label(symbols).persist()
         open_ = fixed.where("io IS NULL").select(*KEY)
         if not self.refresh:

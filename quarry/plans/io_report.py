@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.extract import Context, Found, compiled, scripts
-from quarry.extract.detect import detect
+from quarry.extract.detect import detect, named
 from quarry.operators.decls import drop_unused_modules, without_internal
 from quarry.operators.labels import known, label
 from quarry.operators.report import files as by_file
@@ -72,6 +72,8 @@ def extract(listing: DataFrame, roots: list[str]) -> DataFrame:
                 path = f"{names[root_no]}/{rel}" if names[root_no] else rel
                 text = decode(content or b"")
                 language = detect(name, text)
+                if language is None and (other := named(name)):
+                    rows.append(("file", path, root_no, other) + (None,) * 9)
                 found = EXTRACTORS[language](text, Context(path, rel, package_dir, package, tops[root_no])) if language else None
                 if found is None:
                     continue
@@ -84,6 +86,20 @@ def extract(listing: DataFrame, roots: list[str]) -> DataFrame:
     return listing.select("root_no", "dir", "name", "content", "package_dir", "package").mapInArrow(run, _ROWS)
 
 
+def resources(listing: DataFrame) -> DataFrame:
+    """Declarations (path, language, kind, k, v) of the configuration resources that script modules define.
+
+    X.psm1 defines the FriendlyName that X.schema.mof beside it gives, else the name after DSC_ in its own.
+    """
+    module = F.lower("name").endswith(".psm1")
+    stem = F.regexp_extract("name", r"(?s)^(.*)\.[^.]*$", 1)
+    friendly = F.regexp_extract(F.make_valid_utf8(F.col("content").cast("string")), r'(?s)FriendlyName\("([^"]+)"', 1)
+    schemas = listing.where(F.col("name").endswith(".schema.mof")).select("root_no", "dir", F.regexp_extract("name", r"(?s)^(.*)\.schema\.mof$", 1).alias("stem"), friendly.alias("friendly"))
+    modules = listing.where(module).select("root_no", "dir", stem.alias("stem")).join(schemas, ["root_no", "dir", "stem"], "left")
+    own = F.when(F.col("friendly") != "", F.col("friendly")).when(F.lower("stem").startswith("dsc_"), F.substring("stem", F.lit(5), F.length("stem")))
+    return modules.select(F.col("dir").alias("path"), F.lit("powershell").alias("language"), F.lit("function").alias("kind"), F.lower(own).alias("k"), F.lit("").alias("v")).where("k <> ''")
+
+
 def drop_own_includes(occurrences: DataFrame, listing: DataFrame) -> DataFrame:
     """Without includes of paths that the corpus has: any suffix of a file's path under the same root."""
     parts = F.split(F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat("dir", F.lit("/"), "name")), "/")
@@ -162,7 +178,8 @@ def scan_io(spark: SparkSession, *roots: str, ignore: bool = True, classifier: C
     occurrences = rows.where("type = 'occ'").select("path", "root_no", "language", "module", "symbol", "line", "skips_function", "owner", "include")
     occurrences = drop_workspace_modules(drop_own_includes(occurrences, listing), listing)
     occurrences = drop_unused_modules(occurrences).drop("root_no", "include")
-    left = without_internal(occurrences, rows.where("type = 'def'").select("path", "language", "kind", "k", "v")).persist()
+    defs = rows.where("type = 'def'").select("path", "language", "kind", "k", "v").unionByName(resources(listing))
+    left = without_internal(occurrences, defs).persist()
     symbols = left.select("language", "module", "symbol").distinct()
     say("filter", symbols.count())
     say("classify")
