@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -58,15 +60,46 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of whole texts in one Arrow batch. Batches live outside the heap and, decoded, in Python workers.
-BATCH_ROWS = 250
+#: Bits of the map by which rows are told that may have one of a set of ids. All that is broadcast of the set: at most FILTER_BITS / 64 rows of 16 bytes.
+FILTER_BITS = 1 << 24
+
+
+def perhaps(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that may have one of ids in this column, the others, which surely have none).
+
+    A bitmap of hashes, of the same size whatever the number of ids, is sent to the tasks; an exact join of the first
+    part must follow. The more ids, the more rows the first part holds, in the end all of them.
+    """
+    slot, word, bits = (_free(df, n) for n in ("slot", "word", "bits"))
+    hashed = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(slot) % 64).cast("int"))
+    table = cut(ids.select(hashed.alias(slot)).groupBy(F.floor(F.col(slot) / 64).alias(word)).agg(F.bit_or(bit).alias(bits)), "filter")
+    marked = df.withColumn(slot, hashed).withColumn(word, F.floor(F.col(slot) / 64)).join(F.broadcast(table), word, "left")
+    hit = F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(bit) != 0
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose id is not among ids (one column of that name), as they were."""
+    some, rest = perhaps(df, ids, column)
+    return rest.unionByName(some.join(ids, column, "left_anti").select(*df.columns))
+
+
+#: Bytes of one Arrow batch (beyond it only a single longer row). Batches live outside the heap and, decoded, in Python workers.
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to BATCH_ROWS, unless they are fewer already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's bytes per Arrow batch to BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def bucket_of(column: str, mod: int):
@@ -74,15 +107,11 @@ def bucket_of(column: str, mod: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0))
 
 
-#: Odd multipliers of the rolling word hash and of the mixing steps.
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_POWERS = {"n": 0}
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -94,37 +123,70 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POWERS["n"] < n:
-        m = 1 << max(16, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            a, b = np.full(m, _P), np.full(m, _PINV)
-            a[0] = b[0] = 1
-            _POWERS.update(n=m, a=np.multiply.accumulate(a), b=np.multiply.accumulate(b))
-    return _POWERS["a"], _POWERS["b"]
-
-
-class Words:
-    """The words of a list of texts: hash of each (A-Z lower-cased), byte span in buf, and first word of each text."""
-
-    def __init__(self, texts: list[str | None]):
-        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        raw = b"\n".join([b"", *parts, b""])
-        buf = np.frombuffer(raw, np.uint8)
-        lens = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        self.doc_start = 1 + np.concatenate(([0], np.cumsum(lens + 1)))  # of each text in buf, and one past the last
-        space = _SPACE[buf]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        self.starts, self.ends = edge[0::2], edge[1::2]
-        self.buf = _LOWER[buf]
-        a, b = _powers(len(buf) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * a[: len(buf)], dtype=np.uint64)))
-            self.hash = mix((sums[self.ends] - sums[self.starts]) * b[self.starts])
-        self.first = np.searchsorted(self.starts, self.doc_start)  # len(texts) + 1 entries
-
-    def word(self, i: int) -> bytes:
-        return self.buf[self.starts[i] : self.ends[i]].tobytes()
+#: Bytes of text that are hashed at once (cut between words), and the longest word that is hashed in eights of bytes.
+PIECE, LONG_WORD = 1 << 20, 64
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the words of raw, which starts with white space."""
+    buf = np.frombuffer(raw + b"\n" + bytes(8), np.uint8)
+    space = _SPACE[buf[:-8]]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, size = edge[0::2], edge[1::2] - edge[0::2]
+    low = _LOWER[buf]
+    eights = np.ndarray(len(low) - 7, np.dtype("<u8"), low, strides=(1,))
+    out = mix(size.astype(np.uint64), 20)
+    part = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        if at:
+            part = part[size[part] > at]
+        if not len(part):
+            break
+        out[part] = mix(out[part] ^ (eights[starts[part] + at] & _FIRST_BYTES[np.minimum(size[part] - at, 8)]), 21)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        word = low[starts[i] : starts[i] + size[i]]
+        out[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
+    return out, starts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word with A-Z lower-cased, number of the first word of each text and one past the last).
+
+    A word's bytes pass eight at a time through a bijective mixer that starts from their number, so words of up to eight
+    bytes of one length never share a hash; others do with a chance of 2^-64 a pair, longer ones than LONG_WORD by
+    BLAKE2. Texts are hashed in pieces of about PIECE bytes, so that memory beyond the text and its hashes is bounded
+    (but for a single word longer than that).
+    """
+    out, count = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+    held: list[bytes] = []
+    owner: list[int] = []
+
+    def flush() -> None:
+        if held:
+            begin = np.cumsum([1, *(len(p) + 1 for p in held)])
+            h, starts = _hashed(b"\n" + b"\n".join(held))
+            np.add.at(count, owner, np.diff(np.searchsorted(starts, begin)))
+            out.append(h)
+            held.clear()
+            owner.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        at = 0
+        while at < len(raw) or not at:
+            gap = _GAP.search(raw, at + PIECE) if len(raw) - at > PIECE else None
+            end = gap.start() if gap else len(raw)
+            held.append(raw[at:end])
+            owner.append(i)
+            size += end - at
+            at = end + 1
+            if size >= PIECE:
+                flush()
+                size = 0
+    flush()
+    return np.concatenate(out), np.concatenate(([0], np.cumsum(count)))
 
 
 def text_batches(batch: pa.RecordBatch, column: str, most: int = 1_000_000):

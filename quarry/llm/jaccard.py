@@ -4,19 +4,22 @@ A document is the set of its distinct shingles of SHINGLE words (A-Z lower-cased
 node. Two sets with 100 * |A & B| >= PERCENT * |A | B| differ in at most H elements, H following from their sizes; so
 when the hash space is cut into more than H ranges, they agree wholly in some, and in one of the fullest. Nodes that
 agree in a range are brought together through the least node of that range (a star, never all pairs), which gives
-candidate clusters that no link leaves.
+candidate clusters that no link leaves. The ranges' keys travel once: a task first joins the equal keys of its own
+documents, so that a key which many documents have sends one row a task, and what meets at a key is a sorted stream.
 
 Within a cluster the count vectors do the work: shingles are hashed into GROUPS groups, and a set is the point of its
 group counts. An R-tree over the points bounds the overlap with everything below a tree node by the summed minima of
 the query's coordinates and the node's upper corner; what reaches the required overlap at the leaves is verified on the
-sets. A cluster of more than CELL nodes is dealt into cells, and each pair of cells is a task of its own. It gives the
-number of links of each node, weighted by documents, and of the links only those that span its components, which join
+sets. A cluster beyond a cell's nodes or bytes is dealt into cells, and each pair of cells is a task of its own. It gives
+the number of links of each node, weighted by documents, and of the links only those that span its components, which join
 into components in Spark: a group's links grow with its square, what is written does not.
 
 Defined cases: n_links counts the other documents (doc_ids) that a document is linked with, equal sets included;
 without words the set is empty, n_shingles 0, linked with nothing and its own component; one or two
 words are one shingle; a null doc_id is never linked and its component is null; rows repeating a doc_id should repeat
-its text (each row gets its own set's component). Extra columns are not read. Hashes have 64 bits.
+its text (each row gets its own set's component); an empty table gives an empty table; a text of any length is read
+whole, its hashes (8 bytes a word) in one task. Extra columns are not read. Hashes have 64 bits: of n different words or
+shingles some two are taken for one with a chance of n * n / 2^65.
 """
 
 from __future__ import annotations
@@ -28,18 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, bound_batches, cut, mix, release, text_batches, trim
+from quarry.llm.common import bound_batches, cut, drop_table, mix, perhaps, release, text_batches, trim, without, word_hashes
 from quarry.llm.graph import components
 
 SHINGLE, PERCENT = 3, 90
 GROUPS = 64
-#: Nodes of one cell of a large cluster; a task holds two cells.
-CELL = 1024
+#: Nodes of one cell of a large cluster, and bytes of their sets; a task holds two cells.
+CELL, CELL_BYTES = 512, 16_000_000
 LEAF = 32
-#: Cluster members that may be sent to every task as ids (8 bytes each); beyond it the documents are joined by id.
-BROADCAST_IDS = 400_000
-#: Keys named by several nodes that may be sent to every task (16 bytes each); beyond it all keys are shuffled to them.
-BROADCAST_KEYS = 1_000_000
+#: Keys that a task gathers before it joins equal ones.
+GATHER = 1_000_000
 
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -47,15 +48,14 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    w = Words(texts)
-    h = w.hash
+    h, first = word_hashes(texts)
     with np.errstate(over="ignore"):
         rolled = mix(h, 1)
         full = rolled[: max(0, len(h) - k + 1)].copy()
         for j in range(1, k):
             full = mix(full * _STEP + rolled[j : j + len(full)], 2)
     for i in range(len(texts)):
-        a, b = int(w.first[i]), int(w.first[i + 1])
+        a, b = int(first[i]), int(first[i + 1])
         if b - a >= k:
             yield np.unique(full[a : b - k + 1])
         elif b > a:
@@ -117,26 +117,91 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (null if empty), keys of every row."""
+def nodes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, node (null if empty) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_batches(batch, "text"):
-                n, nodes, keys, ends = [], [], [], [0]
+                found = [(len(s), node_of(s) if len(s) else None) for s in shingle_sets(texts, k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "n_shingles", "node"])
+        trim()
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
+
+
+def _starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of the runs of equal keys, a, b) of rows sorted by key and node: a is a run's least node, b each other of it; every pair once."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    starts = np.flatnonzero(new)
+    a = np.repeat(node[starts], np.diff(np.append(starts, len(key))))
+    apart = a != node
+    if not apart.any():
+        return starts, a[:0], a[:0]
+    a, b = np.unique(np.stack([a[apart], node[apart]]), axis=1)
+    return starts, a, b
+
+
+_DEALT = "key bigint, node bigint, other bigint"
+
+
+def _dealt(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Rows to be dealt by key: (key, node, null), and finished pairs (any key, a, b)."""
+    other = pa.concat_arrays([pa.nulls(len(key), pa.int64()), pa.array(b, pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((key, b))), pa.array(np.concatenate((node, a))), other], names=["key", "node", "other"])
+
+
+def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, node, other of the documents' ranges, equal keys of one task joined already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        names: list[np.ndarray] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            key, node = np.concatenate(keys), np.concatenate(names)
+            keys.clear()
+            names.clear()
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            starts, a, b = _starred(key, node)
+            return _dealt(key[starts], node[starts], a, b)
+
+        for batch in batches:
+            for _, texts in text_batches(batch, "text"):
                 for s in shingle_sets(texts, k):
-                    n.append(len(s))
-                    nodes.append(node_of(s) if len(s) else None)
                     if len(s):
                         keys.append(keys_of(s, percent))
-                    ends.append(ends[-1] + (len(keys[-1]) if len(s) else 0))
-                flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "keys"])
+                        names.append(np.full(len(keys[-1]), node_of(s)))
+                        size += len(keys[-1])
+                    if size >= GATHER:
+                        yield done()
+                        size = 0
+        if size:
+            yield done()
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, _DEALT)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keyed(), sorted by key and node -> the pairs (a, b)."""
+    last = None  # key and least node of the run that may go on
+    for batch in batches:
+        key, node = (np.asarray(batch.column(i)) for i in (0, 1))
+        made = batch.column(2).is_valid()
+        plain = ~np.asarray(made.to_numpy(zero_copy_only=False), bool)
+        key, node, ready = key[plain], node[plain], batch.filter(made)
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(key):
+            if last is not None and last[0] == key[0]:
+                key, node = np.append(last[0], key), np.append(last[1], node)
+            starts, a, b = _starred(key, node)
+            last = key[-1], node[starts[-1]]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([ready.column(1), pa.array(a)]), pa.concat_arrays([ready.column(2), pa.array(b)])], names=["a", "b"])
 
 
 class RTree:
@@ -267,34 +332,35 @@ def _linker(percent: int):
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row."""
+    return _join(docs, k, percent)[0]
+
+
+def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(join(), the tables that it is read from)."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    table = cut(signatures(docs, k, percent), "jaccard-sets")
+    table = cut(nodes(docs, k), "jaccard-nodes")
     named = table.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    pairs = named.select(F.explode("keys").alias("key"), "node")
-    shared = cut(pairs.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"), "jaccard-keys")
-    release(spark)
-    few = shared.count() <= BROADCAST_KEYS
-    stars = cut(pairs.join(F.broadcast(shared) if few else shared, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
+    stars = cut(keyed(docs, k, percent).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a bigint, b bigint"), "jaccard-stars")
     release(spark)
-    clusters = cut(components(stars).withColumnRenamed("root", "cluster"), "jaccard-clusters")
-    least = cut(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("docs")), "jaccard-least")
-    cells = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("cells"))
-    cells = cut(cells, "jaccard-sizes")
-    members = cut(clusters.join(cells, "cluster").join(least, "node").select("node", "cluster", "cells", "docs", F.col("least").alias("doc_id")), "jaccard-members")
-
-    n_members = members.count()
-    reps = members.select("doc_id").distinct()
-    read = docs.select("doc_id", "text").join(F.broadcast(reps) if n_members <= BROADCAST_IDS else reps, "doc_id", "left_semi")
+    found = components(stars)
+    clusters = cut(found.withColumnRenamed("root", "cluster"), "jaccard-clusters")
+    least = cut(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("docs"), F.max("n_shingles").alias("size")), "jaccard-least")
+    placed = clusters.join(least, "node")
+    whole = F.greatest(F.ceil(F.count("*") / F.lit(CELL)), F.ceil(F.sum("size") * 8 / F.lit(CELL_BYTES))).cast("int")
+    cells = cut(placed.groupBy("cluster").agg(whole.alias("cells")), "jaccard-sizes")
+    members = cut(placed.join(cells, "cluster").select("node", "cluster", "cells", "docs", F.col("least").alias("doc_id")), "jaccard-members")
+    read, _ = perhaps(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in text_batches(batch, "text"):
-                found = [s for s in shingle_sets(texts, k) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "set"])
+            for at, texts in text_batches(batch, "text"):
+                full = [(i, s) for i, s in enumerate(shingle_sets(texts, k), at) if len(s)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in full], pa.int64())), pa.array([node_of(s) for _, s in full], pa.int64()), pa.array([s.tobytes() for _, s in full], pa.binary())], names=["doc_id", "node", "set"])
         trim()
 
-    placed = members.select("node", "cluster", "cells", "docs", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell")).join(read.mapInArrow(sets, "node bigint, set binary"), "node")
+    placed = members.select("node", "doc_id", "cluster", "cells", "docs", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell")).join(read.mapInArrow(sets, f"doc_id {kind}, node bigint, set binary"), ["node", "doc_id"])
     # A cell meets every cell of its cluster once; a set goes to `cells` tasks, most often to one.
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     met = met.select("cluster", F.least("cell", "with").alias("i"), F.greatest("cell", "with").alias("j"), F.when(F.col("cell") > F.col("with"), 1).otherwise(0).alias("side"), "node", "docs", "set")
@@ -306,9 +372,12 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     classes = least.join(linked, "node", "left").join(numbers, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-roots")
     of_node = cut(classes.select("node", "root", (F.coalesce("others", F.lit(0)) + F.col("docs") - 1).alias("n_links")).join(of_root, "root").select("node", "component_id", "n_links"), "jaccard-components")
+    for done in (stars, found, clusters, least, cells, members, links, linked, of_root):
+        drop_table(done)
+    release(spark)
     out = table.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     empty = F.when(F.col("node").isNull(), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", empty)).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", empty)).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")), [table, of_node]
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,9 +391,11 @@ DEDUPE_SHINGLE, DEDUPE_PERCENT = 5, 80
 
 def deduplicate(docs: DataFrame, k: int = DEDUPE_SHINGLE, percent: int = DEDUPE_PERCENT) -> DataFrame:
     """The documents without those linked to one of a smaller id: one of each component stays, with all columns as they were."""
-    found = join(docs, k, percent)
+    found, tables = _join(docs, k, percent)
     gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    for table in tables:
+        drop_table(table)
+    return without(docs, gone, "doc_id")
 
 
 OP3_SQL = r"""

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, bound_batches, bucket_of, cut, mix, release, text_batches, trim
+from quarry.llm.common import bound_batches, bucket_of, cut, mix, release, text_batches, trim, word_hashes
 
 CUT, TAIL = 5, 0.1
 HOT = 4096
@@ -87,13 +87,13 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _tokens(texts: list[str | None], number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    w = Words(texts)
-    n = np.diff(w.first)
+    words, first = word_hashes(texts)
+    n = np.diff(first)
     ends = np.cumsum(n + 1) - 1
-    token = np.empty(len(w.hash) + len(n), np.uint64)
+    token = np.empty(len(words) + len(n), np.uint64)
     is_end = np.zeros(len(token), bool)
     is_end[ends] = True
-    token[~is_end], token[is_end] = w.hash, END
+    token[~is_end], token[is_end] = words, END
     history = np.empty_like(token)
     history[1:] = token[:-1]
     history[np.concatenate(([0], ends[:-1] + 1))] = BOS

@@ -112,8 +112,8 @@ def test_jaccard_odd_tables(spark):
 
 def test_large_cluster_in_cells(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 8)
-    monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard, "GATHER", 50)
+    monkeypatch.setattr(common, "FILTER_BITS", 64)
     r = random.Random(1)
     base = prose(r, 80).split()
     texts = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, 80)] + [" ".join(base)]
