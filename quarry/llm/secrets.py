@@ -5,14 +5,14 @@ contain). A segment of documents is indexed: for every trigram that a query name
 the documents that contain it (case folded for ASCII). AND and OR intersect and merge postings; only candidates are
 scanned with the regular expression. A rule without mandatory trigrams (the hex rule) scans every document.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows give repeated results; an empty table gives
-an empty table; other columns of the input are not read, so clashing names do no harm. Memory is that of one Arrow
-batch. Spans are in code points, end exclusive, found leftmost and non-overlapping per kind.
+Defined cases: a null text counts as empty and has no spans (redacting leaves it null); repeated rows give repeated
+results; an empty table gives an empty table; other columns of the input are not read, so clashing names do no harm; a
+private key without its END line is one span up to the end of its BEGIN line. Memory is that of one Arrow batch, or of one
+text longer than that, which is scanned whole. Spans are in code points, end exclusive, found leftmost and non-overlapping per kind.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -40,7 +40,8 @@ ADDED = [
     ("github", r"gh[oprsu]_[A-Za-z0-9]{36,}", 0, 40),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    ("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 0, 27),
+    # With its body and END line, if they follow before another BEGIN.
+    ("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----(?:(?:(?!-----BEGIN)[A-Za-z0-9+/=:,.\\\x20\x09\x0A\x0D-])*?-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----)?", 0, 27),
 ]
 RULES = BASE + ADDED
 _MOST_STRINGS = 64
@@ -226,10 +227,6 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def digest(spans: list[dict]) -> str:
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
-
-
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole document: counts by base kind, digest of the base spans, all spans."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -238,7 +235,3 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_base = F.filter("spans", lambda s: s["kind"].isin(base))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(n, base), F.sha2(joined(of_base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
