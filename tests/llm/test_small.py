@@ -47,6 +47,12 @@ def test_secrets(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_private_keys_go_whole(spark):
+    body = "MIIEvQ+/=\nabcDEF012\r\n"
+    text = f"a -----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY----- b -----BEGIN PRIVATE KEY-----\nopen -----BEGIN EC PRIVATE KEY-----{body}-----END EC PRIVATE KEY-----"
+    assert secrets.redact(docs_of(spark, [text])).first().text == "a [secret] b [secret]\nopen [secret]"
+
+
 @pytest.mark.parametrize("rule, query", [("hex", None), ("access", [frozenset({"akia"})]), ("slack", [frozenset(f"xox{c}-" for c in "abprs")])])
 def test_trigram_queries(rule, query):
     assert next(r[4] for r in secrets.compile_rules() if r[0] == rule) == query
@@ -345,6 +351,84 @@ def test_html(spark):
     assert html.extract(table.where("false")).count() == 0
 
 
+def one_page(source):
+    page = html.Page(source)
+    return page.text(page.best())
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<p title="a"b">One</p><p>Two "x" three</p><p>Four</p>', 'One\nTwo "x" three\nFour'),
+        ("<div><p title='it's'>One, one.</p><p>Two's</p></div>", "One, one.\nTwo's"),
+        ('<p title="open>One</p><p class="x">Two</p>', "One\nTwo"),
+        ('<article data-x="<b>q</b> > r" class=a><p hidden>no</p><p class="x" >yes <a href=/x?a=b>in</a></p></article>', "yes in"),
+        ("<p a= 'x' =b/>k<br/>l<p/ >m<img src='a>b' alt=x>n<p =>o", "k l\nmn\no"),
+        ('<article><header><h1>Big</h1></header><p class="reply">A reply.</p><p class="notice-board">Board</p><p>x <math><mi>y</mi></math> z</p></article>', "Big\nA reply.\nBoard\nx y z"),
+        ('<header>top</header><article><p>Text stays.</p><div class="notice">n</div><p class="ad">a</p><ul class="reply"><li>r</ul><footer>f</footer></article>', "Text stays."),
+        ("<P>One<P>Two</DIV></P>three &amp; &#x26; &nosuch; <3", "One\nTwo\nthree & & &nosuch; <3"),
+        ("<style>a</style><p>b<script>c</p>", "b"),
+        ("", ""),
+        (None, ""),
+    ],
+)
+def test_markup(source, text):
+    assert one_page(source) == text
+
+
+def plain(tree):
+    """The blocks of a generated article, straight from its tree."""
+    out = []
+    for tag, attrs, children in tree:
+        if tag == "p":
+            out.append(" ".join(" ".join(children).split()))
+        elif tag != "aside":
+            out += plain(children)
+    return [b for b in out if b]
+
+
+def test_generated_pages():
+    """Articles of nested containers, with attributes of every form of quoting, are read block by block."""
+    r = random.Random(12)
+
+    def make(depth):
+        out = []
+        for _ in range(r.randrange(1, 5)):
+            tag = r.choice(["p", "p", "p", "div", "section", "blockquote", "aside"]) if depth else "p"
+            attrs = "".join(" " + r.choice(["class=body", 'class="text b"', "data-a='x>y'", 'title="<q>"', "checked", "a='it's'", 'b="x"y', "'", "c = d"]) for _ in range(r.randrange(3)))
+            out.append((tag, attrs, [r.choice(["One two. ", "three\n four, ", "5 ", "a  b ", ""]) for _ in range(3)] if tag == "p" else make(depth - 1)))
+        return out
+
+    def markup(tree):
+        close = lambda tag: "" if tag == "p" and r.random() < 0.5 else f"</{tag}>"
+        return "".join(f"<{tag}{attrs}>" + ("".join(f"<b>{c}</b>" if r.random() < 0.3 else c for c in kids) if tag == "p" else markup(kids)) + close(tag) for tag, attrs, kids in tree)
+
+    for _ in range(200):
+        tree = make(3)
+        assert one_page(f"<nav><p>away</p></nav><article><p>{'Long text to be found. ' * 60}</p>{markup(tree)}</article>") == "\n".join([("Long text to be found. " * 60).strip(), *plain(tree)])
+
+
+def test_memory_of_nested_pages():
+    import tracemalloc
+
+    source = "<div>" * 4000 + "<p>hello there.</p>" * 2000
+    tracemalloc.start()
+    assert one_page(source).count("\n") == 1999
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+
+
+def test_hosts_beyond_those_sent(spark, monkeypatch):
+    monkeypatch.setattr(html, "SENT_HOSTS", 1)
+    page = lambda host, cls: f'<div class="{cls}"><p>The article of this page, long enough.</p></div><div class="more"><p>Something else that is rather long, {host}.</p></div>' if cls else "<p>Bare.</p>"
+    rows = [(i, f"http://h{i % 3}/{i}", page(i % 3, "main")) for i in range(9)] + [(9, "http://h1/x", page(1, "main")), (10, None, page(0, "")), (11, "http://h2/y", None)]
+    table = spark.createDataFrame([(*r, "p") for r in rows], "page_id bigint, url string, html string, path string")
+    got = {x.page_id: (x.url, x.text) for x in html.extract(table).collect()}
+    monkeypatch.setattr(html, "SENT_HOSTS", 50)
+    assert got == {x.page_id: (x.url, x.text) for x in html.extract(table).collect()} and len(got) == 12 and got[10] == (None, "Bare.") and got[11][1] == ""
+
+
 # Top k.
 def test_topk(spark):
     r = np.random.default_rng(3)
@@ -376,4 +460,116 @@ def test_rollups(spark, tmp_path):
     assert totals() == sorted([("t", "en", "v", 1, 8), (None, "de", "w", 1, 0)], key=str)
     assert roll.apply("b3", change((0, "x", 1, "v", "a", "b", 1)).where("false")) and roll.apply("b4", change((0, "insert", 2, "v", "s", "en", 1)))
     assert totals() == sorted([("t", "en", "v", 1, 8), ("s", "en", "v", 1, 1), (None, "de", "w", 1, 0)], key=str)
-    assert roll.committed() == ["000000000-b1", "000000001-b2", "000000002-b3", "000000003-b4"]
+    assert roll.committed() == ["b1", "b2", "b3", "b4"] and rollups.Rollup(spark, f"file://{tmp_path}/r").committed() == roll.committed()
+    assert {(r.number, r.source, r.n_docs) for r in roll.deltas().where("version = 'v'").collect()} >= {(0, "s", 1), (1, "s", -1), (1, "t", 1), (3, "s", 1)}
+
+
+def test_tables_read_before_a_commit_stay(spark, tmp_path):
+    roll = rollups.Rollup(spark, f"file://{tmp_path}/r", buckets=4)
+    change = lambda *rows: spark.createDataFrame(rows, rollups.CHANGES)
+    roll.apply("a/../b ?*", change(*[(0, "insert", i, "v", "s", "en", 1) for i in range(40)]))
+    ledger, totals, held = roll.ledger(), roll.totals(), roll._last()["buckets"]
+    assert roll.apply("two", change((0, "delete", 7, "v", None, None, None)))
+    assert ledger.count() == 40 and totals.first().n_docs == 40 and roll.totals().first().n_docs == 39
+    assert sum(held[b] != p for b, p in roll._last()["buckets"].items()) == 1  # one bucket was written anew
+    assert not roll.apply("a/../b ?*", change((0, "insert", 99, "v", "s", "en", 1)))
+    roll.vacuum()
+    assert roll.ledger().count() == 39 and roll.totals().first().n_docs == 39
+
+
+def test_of_two_writers_one_starts_again(spark, tmp_path, monkeypatch):
+    one, two = (rollups.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    change = lambda i: spark.createDataFrame([(0, "insert", i, "v", "s", "en", i)], rollups.CHANGES)
+    write, late = one._write, []
+
+    def slow(*args):
+        made = write(*args)
+        if not late:
+            late.append(two.apply("two", change(2)))
+        return made
+
+    monkeypatch.setattr(one, "_write", slow)
+    assert one.apply("one", change(1)) and late == [True]
+    assert one.committed() == ["two", "one"] and tuple(one.totals().first()) == ("s", "en", "v", 2, 3)
+
+
+def test_counts_of_a_real_tokenizer(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    reference = tokenizers.Tokenizer.from_file(bpe.default_path())
+    reference.no_truncation()
+    got = {(r.doc_id, r.version): r.n_tokens for r in rollups.counted(docs_of(spark, ODD).withColumn("version", common.F.lit(1)), "word-bpe-49k", "words-1", "bytes-1").collect()}
+    want = {(i, "word-bpe-49k"): len(reference.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(ODD)}
+    want |= {(i, "bytes-1"): len((t or "").encode()) for i, t in enumerate(ODD)} | {(i, "words-1"): len(brute_words(t)) for i, t in enumerate(ODD)}
+    assert got == want
+
+
+def test_token_counts_where_ids_repeat(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a b", "en", "s"), (1, "a b c", None, "s"), (1, "a", "en", None), (2, None, None, None), (None, "x", "en", "s"), (3, "bad", "en", "s"), (4, "é", "fr", "t"), (4, "é", "fr", "t")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 0, 1), (None, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = rollups.op10_token_counts(spark, f"file://{tmp_path}").select("source", "lang", "version", "n_docs", "n_tokens").collect()
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(rollups.OP10_SQL).fetchall(), key=str)
+
+
+# Words.
+def brute_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if w]
+
+
+def test_word_hashes(monkeypatch):
+    texts = [*ODD, "Ab " + "Z" * 300 + " " + "z" * 300, "q" * 900 + "\n" + "q" * 901, "end "]
+    whole = common.word_hashes(texts)
+    monkeypatch.setattr(common, "PIECE", 64)
+    hashes, first = common.word_hashes(texts)
+    assert np.array_equal(hashes, whole[0]) and np.array_equal(first, whole[1])
+    words = [brute_words(t) for t in texts]
+    assert np.diff(first).tolist() == list(map(len, words))
+    known = {}
+    for w, h in zip(sum(words, []), hashes.tolist()):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) and not len(common.word_hashes([])[0])
+
+
+def twins(n):
+    """Two words whose letters cancel out in every polynomial modulo a power of two."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    a, b = twins(1024)
+    got = jaccard.join(docs_of(spark, [f"{a} {a} {a} {a}", f"{b} {b} {b} {b}"])).collect()
+    assert {(x.doc_id, x.component_id, x.n_links) for x in got} == {(0, 0, 0), (1, 1, 0)}
+    rows = katz.score(docs_of(spark, [a, b, f"{a} {b}"]), common.F.col("doc_id") == 2).collect()
+    known = {x.doc_id: x.base_score for x in rows}
+    assert known[2] == pytest.approx(2 * np.log10(2 / 8) + np.log10(3 / 8)) and known[0] == pytest.approx(np.log10(2 / 8) + np.log10(3 / 8))
+
+
+def test_memory_of_long_texts():
+    import tracemalloc
+
+    text = "alpha beta gamma " * 400_000
+    tracemalloc.start()
+    common.word_hashes([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text)
+
+
+# Rows that may have one of some ids.
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_rows_without_some_ids(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = spark.createDataFrame([(i if i % 11 else None, i, "x") for i in range(300)], "doc_id bigint, slot bigint, word string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 300, 7)] + [(None,)], "doc_id bigint")
+    left = common.without(rows, ids, "doc_id")
+    assert left.columns == rows.columns and {r.slot for r in left.collect()} == {i for i in range(300) if not i % 11 or i % 7}
+    some, rest = common.perhaps(rows, ids, "doc_id")
+    assert some.count() + rest.count() == 300 and not {r.doc_id for r in rest.collect()} & set(range(0, 300, 7))
