@@ -1,28 +1,36 @@
-"""Language-model scoring with Katz backoff over bigrams.
+"""Language-model scoring with Katz backoff over bigrams: fit() writes the model's tables, score() evaluates texts with them.
 
 The bigram counts are discounted by Good-Turing estimates (counts up to CUT; larger ones lose TAIL), the mass so freed
 goes to words not seen after the history, in proportion to the add-one unigram model, with exact backoff weights:
 
     P(w | h) = c*(h, w) / c(h)                 if c(h, w) > 0
-             = alpha(h) * (c(w) + 1) / (N + V + 1)   otherwise; alpha(h) = 1 if h was never seen
-    alpha(h) = (sum over seen w of c - c*) / c(h) / (1 - sum over seen w of (c(w) + 1) / (N + V + 1))
+             = alpha(h) * P(w)                 otherwise; alpha(h) = 1 if h was never seen
+    P(w)     = (c(w) + 1) / (N + V + 1)
+    alpha(h) = (sum over seen w of c - c*) / c(h) / (1 - sum over seen w of P(w))
 
 which sums to one over all known words and one unknown word, for every history.
 
-No table of counts is ever held whole or sent to tasks. Tokens are dealt by word into partitions as packed columns;
-a partition counts its words and bigrams and scores, for the documents the tokens come from, all that depends on them.
-What depends on a history (its freed mass, the unigram mass of its successors) is summed in a table partitioned by
-history, to which the unseen bigrams of scored documents are sent. A last table, partitioned by document chunk, adds up
-each document. Words with at least 1/HOT of a chunk's tokens may be dealt by bigram instead (there are at most HOT of
-them kept; their exact counts are sent to all tasks), so that no partition gets all tokens of a frequent word.
+Tables. `counts` holds the bigrams with their counts and the words with theirs, in buckets by word; `weights` holds each
+history's alpha(h) * c(h), in buckets by history; `hot` the at most HOT most frequent words with their exact counts and
+weights, and `meta` the sizes: only these two are sent to tasks. A row of the first two is one bucket's columns, as
+typed numbers with a header that names their types, compressed; no row is code.
+
+Fitting counts the bigrams of CHUNK tokens at a time before they are dealt. Scoring deals tokens, counted by bigram and
+document, to the buckets, where they meet the counts one batch at a time; what backs off from a history that is not hot
+goes on to the weights; a document's parts are then added up. Bigrams of a hot word are dealt by bigram instead of word,
+and of one bigram no more than one row a document travels, so no bucket gets all tokens of a frequent word or pair.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id counts as training; without training texts
-every word is unknown; repeated rows are trained on and scored each; only doc_id and text are read.
+every word is unknown; repeated rows are trained on and scored each; an empty table gives an empty table; a text of any
+length is one chunk (some 100 bytes of memory a token); only doc_id and text are read, whatever other columns are called.
+Words are told apart by 64-bit hashes. Documents should come from written tables: a task that is run again must meet the
+rows it met before.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,62 +39,111 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, bucket_of, cut, mix, release, text_batches, trim, word_hashes
+from quarry.llm.common import bound_batches, bucket_of, cut, drop_table, fresh_path, mix, release, trim, word_hashes
 
 CUT, TAIL = 5, 0.1
-HOT = 4096
-#: Tokens that a mapper packs at once, and that a partition by word holds.
-CHUNK, PER_BUCKET = 2_000_000, 2_000_000
+#: The most frequent words that are sent to all tasks (24 bytes each); with the start mark their numbers have 16 bits.
+HOT = 50_000
+#: Tokens that a mapper packs at once, and training tokens of a bucket.
+CHUNK, PER_BUCKET = 1_000_000, 2_000_000
 END, BOS = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xB050_0000_0000_0001)
-_BLOB = "kind string, key bigint, size bigint, blob binary"
+_ROW = "kind string, key bigint, size bigint, columns binary"
 _LOCAL = 22  # bits of a document's number in its chunk
+_TYPE = re.compile(r"([<|][uif][1248])(\d+)")
 
 
-def _pack(kind: str, key: int, value) -> tuple:
-    raw = pickle.dumps(value, 5)
+def _pack(kind: str, key: int, *columns: np.ndarray) -> tuple:
+    head = " ".join(f"{c.dtype.str}{len(c)}" for c in columns).encode() + b"\n"
+    raw = head + b"".join(c.tobytes() for c in columns)
     return kind, key, len(raw), pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpack(size: int, blob: bytes):
-    return pickle.loads(pa.decompress(blob, size, "zstd", asbytes=True))
+def _unpack(size: int, blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob, size, "zstd", asbytes=True)
+    at = raw.index(b"\n") + 1
+    out = []
+    for kind, n in _TYPE.findall(raw[: at - 1].decode()):
+        out.append(np.frombuffer(raw, np.dtype(kind), int(n), at))
+        at += out[-1].nbytes
+    return out
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "key", "size", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "key", "size", "columns"])
 
 
-def _small(a: np.ndarray) -> np.ndarray:
-    """The narrowest unsigned type that holds the numbers."""
-    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+def _batched(rows: Iterator[tuple], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if size > most:
+            yield _batch(held)
+            held, size = [], 0
+    yield _batch(held)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[str, object]]]]:
-    """Rows sorted by key, as (key, [(kind, value)])."""
-    now, held = None, []
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for kind, key, size, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != now:
-                if held:
-                    yield now, held
-                now, held = key, []
-            held.append((kind, size, blob))
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows sorted by key, as (key, [(kind, size, columns)])."""
+    now, held = None, []
+    for kind, key, size, blob in _rows(batches):
+        if key != now and held:
+            yield now, held
+            held = []
+        now = key
+        held.append((kind, size, blob))
     if held:
         yield now, held
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, history, text number) of all tokens: each text's words and its end."""
-    parts, at, size = [], 0, 0
-    for i, t in enumerate(texts):  # hashed a million characters at a time
-        size += len(t or "")
-        if size >= 1_000_000 or i + 1 == len(texts):
-            parts.append(_tokens(texts[at : i + 1], at))
-            at, size = i + 1, 0
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32))
+def _small(a: np.ndarray) -> np.ndarray:
+    """The narrowest unsigned type that holds the numbers."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, whether found) of x in a sorted array."""
+    if not len(sorted_values):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    slot = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return slot, sorted_values[slot] == x
+
+
+def _named(hot: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as three columns: which are hot, the numbers of these, the others as they are."""
+    slot, found = _in(hot, x)
+    return np.packbits(found), slot[found].astype(np.uint16), x[~found]
+
+
+def _words(hot: np.ndarray, found: np.ndarray, slot: np.ndarray, others: np.ndarray) -> np.ndarray:
+    found = np.unpackbits(found, count=len(slot) + len(others)).astype(bool)
+    out = np.empty(len(found), np.uint64)
+    out[found], out[~found] = hot[slot], others
+    return out
+
+
+def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def _tokens(texts: list[str | None], number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, history, text number) of all tokens: each text's words and its end."""
     words, first = word_hashes(texts)
     n = np.diff(first)
     ends = np.cumsum(n + 1) - 1
@@ -97,29 +154,39 @@ def _tokens(texts: list[str | None], number: int) -> tuple[np.ndarray, np.ndarra
     history = np.empty_like(token)
     history[1:] = token[:-1]
     history[np.concatenate(([0], ends[:-1] + 1))] = BOS
-    return token, history, np.repeat(np.arange(number, number + len(n), dtype=np.int32), n + 1)
+    return token, history, np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
 
 
 def _read(docs: DataFrame, held_out) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.col("text").alias("text"))
 
 
-def _training_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+def _training_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Training texts of about CHUNK tokens together."""
+    held, size = [], 0
     for batch in batches:
-        batch = batch.filter(pa.array([not h for h in batch.column(1).to_pylist()], pa.bool_()))
-        for _, texts in text_batches(batch, "text"):
-            yield tokens(texts)[0], len(texts)
+        for _, held_out, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if not held_out:
+                held.append(text)
+                size += len(text or "") // 5 + 1
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def hot_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(words, exact training counts) of at most HOT frequent words, sorted by word; training tokens; training documents."""
 
     def frequent(batches):
-        for token, n in _training_slices(batches):
+        for texts in _training_slices(batches):
+            token = tokens(texts)[0]
             word, count = np.unique(token, return_counts=True)
             big = count * HOT >= len(token)
-            # Key 0 with no word: all tokens and documents.
-            yield pa.RecordBatch.from_arrays([pa.array([None, None, *word[big].view(np.int64)], pa.int64()), pa.array([len(token), None, *count[big]], pa.int64()), pa.array([None, n, *[None] * int(big.sum())], pa.int64())], names=["word", "n", "docs"])
+            # Rows with no word: all tokens and documents.
+            yield pa.RecordBatch.from_arrays([pa.array([None, *word[big].view(np.int64)], pa.int64()), pa.array([len(token), *count[big]], pa.int64()), pa.array([len(texts), *[0] * int(big.sum())], pa.int64())], names=["word", "n", "docs"])
+        trim()
 
     found = rows.mapInArrow(frequent, "word bigint, n bigint, docs bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     got = found.orderBy(F.col("word").isNull().desc(), F.col("n").desc(), "word").limit(HOT + 1).collect()
@@ -128,189 +195,112 @@ def hot_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
     def exact(batches):
         count = np.zeros(len(words), np.int64)
-        for token, _ in _training_slices(batches):
-            slot = np.minimum(np.searchsorted(words, token), len(words) - 1)
-            count += np.bincount(slot[words[slot] == token], minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words)), pa.int64()), pa.array(count, pa.int64())], names=["i", "n"])
+        for texts in _training_slices(batches):
+            slot, found = _in(words, tokens(texts)[0])
+            count += np.bincount(slot[found], minlength=len(words))
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some], pa.int64())], names=["i", "n"])
+        trim()
 
     counts = np.zeros(len(words), np.int64)
     if len(words):
-        for r in rows.mapInArrow(exact, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        for r in rows.mapInArrow(exact, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():  # HOT rows at most
             counts[r["i"]] = r["n"]
     return words, counts, *total
 
 
-def _in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, whether found) of x in a sorted array."""
-    if not len(sorted_values):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    slot = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return slot, sorted_values[slot] == x
+def _bucket(token: np.ndarray, history: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """By word; of a hot word by bigram."""
+    where = mix(token, 10)
+    _, is_hot = _in(hot, token)
+    where[is_hot] = mix(token[is_hot] ^ mix(history[is_hot], 9), 10)
+    return (where % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
 
 
-def _deal(hot: np.ndarray, buckets: int):
-    """documents -> their tokens as packed columns, by bucket of the word (of the bigram, if the word is hot)."""
+def _pair(token: np.ndarray, history: np.ndarray) -> np.ndarray:
+    return mix(token ^ mix(history, 9), 12)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, serial = TaskContext.get().partitionId(), 0
-        held_texts: list[tuple] = []
-        size = 0
 
-        def chunk() -> pa.RecordBatch:
-            nonlocal serial, size
-            ids, held, texts = (list(x) for x in zip(*held_texts))
-            token, history, doc = tokens(texts)
-            n_texts = len(texts)
-            del texts
-            number = part << 16 | serial
-            serial += 1
-            held_texts.clear()
-            size = 0
-            _, is_hot = _in(hot, token)
-            bucket = (np.where(is_hot, mix(token ^ mix(history, 9), 10), mix(token, 10)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((token, bucket)).astype(np.int32)
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            del is_hot, bucket
-            train = ~np.array(held, bool)
-            rows = []
-            for b in range(buckets):
-                at = order[edges[b] : edges[b + 1]]
-                if not len(at):
-                    continue
-                words, codes = np.unique(np.concatenate((token[at], history[at])), return_inverse=True)
-                w, h = codes[: len(at)], codes[len(at) :]
-                # Within a word the documents ascend, so their steps are small.
-                step = np.diff(doc[at], prepend=0).astype(np.int32)
-                rows.append(_pack("t", b, (number, words, _small(np.diff(w, prepend=0)), _small(h), step, np.packbits(train[doc[at]]))))
-            n = np.bincount(doc, minlength=n_texts)
-            rows.append(_pack("head", number % buckets, (number, ids, np.packbits(~train), _small(n))))
-            return _batch(rows)
+def _by(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its places in order) of the buckets that have some."""
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    sizes = np.bincount(bucket.astype(np.int64), minlength=buckets)
+    ends = np.cumsum(sizes)
+    for b in np.flatnonzero(sizes).tolist():
+        yield b, order[ends[b] - sizes[b] : ends[b]]
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held_texts.append(row)
-                size += len(row[2] or "") // 5 + 1
-                if size >= CHUNK or len(held_texts) >> (_LOCAL - 1):
-                    yield chunk()
-                    trim()
-        if held_texts:
-            yield chunk()
-        trim()
 
-    return run
+def _grouped(hot: np.ndarray, word: np.ndarray) -> tuple:
+    """Sorted words as columns: each once, and how often."""
+    starts = _runs(word)
+    return *_named(hot, word[starts]), _small(_lengths(starts, len(word)))
 
 
-def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
-    """Where runs of equal rows start."""
-    new = np.zeros(len(sorted_columns[0]), bool)
-    new[:1] = True
-    for c in sorted_columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
+def _counted(hot: np.ndarray, buckets: int):
+    """documents -> bigram counts of CHUNK training tokens each, by bucket."""
 
+    def rows(batches):
+        for texts in _training_slices(batches):
+            token, history, _ = tokens(texts)
+            order = np.lexsort((history, token))
+            token, history = token[order], history[order]
+            starts = _runs(token, history)
+            n = _lengths(starts, len(token))
+            token, history = token[starts], history[starts]
+            for b, at in _by(_bucket(token, history, hot, buckets), buckets):
+                yield _pack("n", b, *_grouped(hot, token[at]), *_named(hot, history[at]), _small(n[at]))
 
-def _count(hot: np.ndarray, hot_counts: np.ndarray, buckets: int):
-    """Tokens of a bucket -> parts of their documents' scores ('d', by chunk), of their histories' masses and the unseen bigrams ('h', by history), statistics ('s')."""
-    known_hot = np.append(hot, BOS)
-    known_hot.sort()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(rows(batches))
+        trim()
 
-    def one(values: list[tuple]) -> Iterator[tuple]:
-        parts: list[tuple] = []
-        while values:  # each blob goes as soon as it is unpacked
-            kind, size, blob = values.pop()
-            value = _unpack(size, blob)
-            if kind == "head":
-                yield _pack("head", value[0], value)
-            else:
-                number, words, w, h, step, train = value
-                n = len(w)
-                parts.append((words[np.cumsum(w.astype(np.int64))], words[h], (np.int64(number) << _LOCAL) + np.cumsum(step.astype(np.int64)), np.unpackbits(train, count=n).astype(bool)))
-        if not parts:
-            return
-        columns = [list(x) for x in zip(*parts)]
-        del parts, value
-        token, history = np.concatenate(columns[0]), np.concatenate(columns[1])
-        columns[0] = columns[1] = None
-        order = np.lexsort((history, token))
-        token, history = token[order], history[order]
-        doc = np.concatenate(columns[2])[order]
-        train = np.concatenate(columns[3])[order]
-        del columns, order
-        words, pairs = _runs(token), _runs(token, history)
-        count = lambda starts: np.add.reduceat(train, starts, dtype=np.int64)
-        spread = lambda x, starts: np.repeat(x, np.diff(np.append(starts, len(token))))
-        cw = count(words)
-        slot, is_hot = _in(hot, token[words])
-        cw[is_hot] = hot_counts[slot[is_hot]]
-        c_pair = count(pairs)
-        narrow = lambda x: x.astype(np.int32) if x.max(initial=0) < 1 << 31 else x
-        cw_token, c_token = spread(narrow(cw), words), spread(narrow(c_pair), pairs)
-        yield _pack("s", 0, (int(((cw > 0) & ~is_hot).sum()), np.bincount(np.minimum(c_pair, CUT + 2), minlength=CUT + 3)))
-
-        # Documents.
-        unseen = c_token == 0
-        log = np.log10(np.arange(1, 1 << 16, dtype=np.float64))
-        log10 = lambda c: np.where(c < len(log), log[np.clip(c, 1, len(log)) - 1], np.log10(np.maximum(c, 1)))
-        score = np.where(unseen, log10(cw_token + 1), 0.0)
-        large = c_token > CUT
-        score[large] = np.log10(c_token[large] - TAIL)
-        score -= np.where((token != END) & (cw_token > 0), log10(cw_token), 0.0)
-        docs, inverse = np.unique(doc, return_inverse=True)
-        total = lambda x: np.bincount(inverse, x, len(docs))
-        small = np.bincount(inverse * (CUT + 1) + np.where(large, 0, c_token), ~large, len(docs) * (CUT + 1)).reshape(-1, CUT + 1).astype(np.int64)
-        columns = (total(log10(cw_token + 1)), total(score), total(cw_token > 0).astype(np.int64))
-        del inverse, score, cw_token, c_token, large
-        # Unseen bigrams whose history is hot wait for that history's weight with the document.
-        at = np.flatnonzero(unseen)
-        slot, is_hot = _in(known_hot, history[at])
-        hot_doc, hot_slot = doc[at][is_hot], slot[is_hot]
-        by = np.argsort(hot_doc, kind="stable")
-        hot_doc, hot_slot = hot_doc[by], hot_slot[by]
-        chunks = docs >> _LOCAL
-        starts = _runs(chunks)
-        local = np.int64((1 << _LOCAL) - 1)
-        for a, b in zip(starts, np.append(starts[1:], len(docs))):
-            number = int(chunks[a])
-            x, y = np.searchsorted(hot_doc, [number << _LOCAL, (number + 1) << _LOCAL])
-            yield _pack("d", number, (_small(docs[a:b] & local), *(_small(c[a:b]) if c.dtype == np.int64 else c[a:b] for c in columns), _small(small[a:b]), _small(hot_doc[x:y] & local), _small(hot_slot[x:y])))
-
-        # Histories.
-        seen = c_pair > 0
-        h, c, s = history[pairs][seen], c_pair[seen], spread_pairs(cw + 1, words, pairs, len(token))[seen]
-        order = np.argsort(h, kind="stable")
-        h, c, s = h[order], c[order], s[order]
-        starts = _runs(h)
-        add = lambda x: np.add.reduceat(x.astype(np.int64), starts) if len(h) else np.empty(0, np.int64)
-        mass = [h[starts], add(s)] + [add(c == r) for r in range(1, CUT + 1)] + [add(c > CUT)]
-        asked_h, asked_doc = history[at][~is_hot], doc[at][~is_hot]
-        where, asked_where = (mix(x, 11) % np.uint64(buckets) for x in (mass[0], asked_h))
-        order, asked = np.argsort(where, kind="stable"), np.argsort(asked_where, kind="stable")
-        edges, asked_edges = (np.searchsorted(x, np.arange(buckets + 1, dtype=np.uint64)) for x in (where[order], asked_where[asked]))
-        for b in range(buckets):
-            i, j = order[edges[b] : edges[b + 1]], asked[asked_edges[b] : asked_edges[b + 1]]
-            if len(i) or len(j):
-                yield _pack("h", b, ([m[i] if k == 0 else _small(m[i]) for k, m in enumerate(mass)], asked_h[j], asked_doc[j]))
+    return run
+
+
+def _bigrams(hot: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, history, count) of a row of kind n."""
+    return np.repeat(_words(hot, *columns[:3]), columns[3]), _words(hot, *columns[4:7]), columns[7]
+
+
+def _merged(hot: np.ndarray, hot_counts: np.ndarray, buckets: int):
+    """Counts of a bucket -> its bigrams ('n') and words ('u'), its histories' masses ('h', by history), statistics ('s')."""
+
+    def one(bucket: int, values: list[tuple]) -> Iterator[tuple]:
+        parts = []
+        while values:
+            _, size, blob = values.pop()
+            parts.append(_bigrams(hot, _unpack(size, blob)))
+        word, history, n = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order = np.lexsort((history, word))
+        word, history, n = word[order], history[order], n[order].astype(np.int64)
+        starts = _runs(word, history)
+        word, history, n = word[starts], history[starts], np.add.reduceat(n, starts)
+        yield _pack("n", bucket, *_grouped(hot, word), *_named(hot, history), _small(n))
+        starts = _runs(word)
+        total = np.add.reduceat(n, starts)
+        slot, is_hot = _in(hot, word[starts])
+        yield _pack("u", bucket, word[starts][~is_hot], _small(total[~is_hot]))
+        yield _pack("s", 0, np.array([int((~is_hot).sum())]), np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3))
+        total[is_hot] = hot_counts[slot[is_hot]]
+        mass = np.repeat(total + 1, _lengths(starts, len(word)))
+        order = np.argsort(history, kind="stable")
+        history, n, mass = history[order], n[order], mass[order]
+        starts = _runs(history)
+        columns = [np.add.reduceat(mass, starts), *(np.add.reduceat((n == r).astype(np.int64), starts) for r in range(1, CUT + 1)), np.add.reduceat((n > CUT).astype(np.int64), starts)]
+        history = history[starts]
+        where = (mix(history, 11) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        for b, at in _by(where, buckets):
+            yield _pack("h", b, *_named(hot, history[at]), *(_small(c[at]) for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, values in _groups(batches):
-            rows, size = [], 0
-            for row in one(values):
-                rows.append(row)
-                size += len(row[3])
-                if size > 8_000_000:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            yield _batch(rows)
+        for bucket, values in _groups(batches):
+            yield from _batched(one(bucket, values))
             trim()
 
     return run
 
 
-def spread_pairs(per_word: np.ndarray, words: np.ndarray, pairs: np.ndarray, n: int) -> np.ndarray:
-    """A value of each word, for each of its bigrams."""
-    return per_word[np.searchsorted(words, pairs, side="right") - 1]
-
-
 def discounts(n_r: np.ndarray) -> np.ndarray:
     """Good-Turing: the discounted value of counts 1 to CUT (index 0 unused). n_r: bigrams by count; where an estimate is of no use the count loses a half."""
     out = np.arange(CUT + 1, dtype=np.float64)
@@ -322,101 +312,272 @@ def discounts(n_r: np.ndarray) -> np.ndarray:
     return out
 
 
-def _weigh(hot: np.ndarray, n: int, v: int, star: np.ndarray):
-    """Masses of a history bucket -> log10 of alpha(h) * c(h) for the unseen bigrams, summed by document ('a', by chunk); rows of hot histories ('hot')."""
-    known_hot = np.append(hot, BOS)
-    known_hot.sort()
+def _with_start(hot: np.ndarray) -> np.ndarray:
+    return np.sort(np.append(hot, BOS))
+
+
+def _weighed(hot: np.ndarray, n: int, v: int, star: np.ndarray):
+    """Masses of a history bucket -> log10 of alpha(h) * c(h): 'w' of the rare histories, 'hot' of the others."""
+    known = _with_start(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, values in _groups(batches):
+        for bucket, values in _groups(batches):
             got = [_unpack(size, blob) for _, size, blob in values]
-            mass = [np.concatenate([g[0][k] for g in got]).astype(np.uint64 if k == 0 else np.int64) for k in range(CUT + 3)]
-            order = np.argsort(mass[0], kind="stable")
-            starts = _runs(mass[0][order]) if len(order) else np.empty(0, np.int64)
-            h = mass[0][order][starts]
-            summed = [np.add.reduceat(m[order], starts) if len(order) else m for m in mass[1:]]
+            history = np.concatenate([_words(hot, *g[:3]) for g in got])
+            order = np.argsort(history, kind="stable")
+            starts = _runs(history[order])
+            summed = [np.add.reduceat(np.concatenate([g[k] for g in got]).astype(np.int64)[order], starts) for k in range(3, CUT + 5)]
+            history = history[order][starts]
             freed = sum(((r - star[r]) * summed[r] for r in range(1, CUT + 1)), TAIL * summed[CUT + 1])
             weight = np.log10(freed) - np.log10(1 - summed[0] / (n + v + 1))
-            rows = []
-            slot, is_hot = _in(known_hot, h)
-            if is_hot.any():
-                rows.append(_pack("hot", 0, (slot[is_hot], weight[is_hot])))
-            asked, doc = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
-            if len(asked):
-                slot, found = _in(h, asked)
-                docs, inverse = np.unique(doc, return_inverse=True)
-                total = np.bincount(inverse, np.where(found, weight[slot] if len(h) else 0.0, 0.0), len(docs))
-                chunks = docs >> _LOCAL
-                starts = _runs(chunks)
-                for a, b in zip(starts, np.append(starts[1:], len(docs))):
-                    rows.append(_pack("a", int(chunks[a]), (_small(docs[a:b] & np.int64((1 << _LOCAL) - 1)), total[a:b])))
-            yield _batch(rows)
+            slot, is_hot = _in(known, history)
+            yield _batch([_pack("w", bucket, history[~is_hot], weight[~is_hot]), *([_pack("hot", 0, slot[is_hot], weight[is_hot])] if is_hot.any() else [])])
 
     return run
 
 
+class Katz:
+    """A fitted model: the tables below path, and the small ones in memory."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        self.n, self.v, self.train_docs, self.buckets, self.star = meta["n"], meta["v"], meta["train_docs"], meta["buckets"], np.array(meta["star"])
+        got = spark.read.parquet(f"{path}/hot").collect()  # HOT + 1 rows at most
+        word = np.array([r["word"] for r in got], np.int64).view(np.uint64)
+        order = np.argsort(word)
+        known, counts, weights = word[order], np.array([r["n"] for r in got], np.int64)[order], np.array([r["weight"] for r in got], np.float64)[order]
+        plain = known != BOS
+        self.hot, self.hot_counts, self.hot_weights = known[plain], counts[plain], weights
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_ROW).parquet(f"{self.path}/{name}")
+
+    def bigrams(self) -> DataFrame:
+        """word, history, n of the counts table, words as their hashes."""
+        hot = self.hot
+
+        def run(batches):
+            for _, _, size, blob in _rows(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64)) for c in _bigrams(hot, _unpack(size, blob))], names=["word", "history", "n"])
+
+        return self._table("counts").where("kind = 'n'").mapInArrow(run, "word bigint, history bigint, n bigint")
+
+    def score(self, docs: DataFrame, held_out) -> DataFrame:
+        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; held_out: a condition, for the column only."""
+        bound_batches(self.spark)
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(self.buckets, 4096))
+        dealt = lambda df: df.repartition(parts, "key").sortWithinPartitions("key", "kind")
+        met = _read(docs, held_out).mapInArrow(_tokens_dealt(self.hot, self.buckets), _ROW).unionByName(self._table("counts").where("kind IN ('n', 'u')"))
+        found = cut(dealt(met).mapInArrow(_looked_up(self), _ROW), "katz-parts")
+        release(self.spark)
+        asked = found.where("kind = 'x'").unionByName(self._table("weights").where("kind = 'w'"))
+        answers = dealt(asked).mapInArrow(_answered, _ROW)
+        return dealt(found.where("kind IN ('d', 'head')").unionByName(answers)).mapInArrow(_added_up(self.n, self.v, self.train_docs), _OUT)
+
+
+def fit(docs: DataFrame, held_out, path: str | None = None) -> Katz:
+    """Train on the rows for which the condition held_out is not true and write the model's tables below path."""
+    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    path = path or fresh_path(spark, "katz")
+    rows = _read(docs, held_out)
+    hot, hot_counts, n, train_docs = hot_words(rows)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-n // PER_BUCKET))
+    dealt = lambda df: df.repartition(max(parts, min(buckets, 4096)), "key").sortWithinPartitions("key")
+    made = cut(dealt(rows.mapInArrow(_counted(hot, buckets), _ROW)).mapInArrow(_merged(hot, hot_counts, buckets), _ROW), "katz-merged")
+    release(spark)
+    v, n_r = int((hot_counts > 0).sum()), np.zeros(CUT + 3, np.int64)
+    for r in made.where("kind = 's'").select("size", "columns").toLocalIterator():  # one small row a bucket
+        words, by_count = _unpack(r["size"], bytes(r["columns"]))
+        v, n_r = v + int(words[0]), n_r + by_count
+    star = discounts(n_r)
+    made.where("kind IN ('n', 'u')").write.parquet(f"{path}/counts")
+    dealt(made.where("kind = 'h'")).mapInArrow(_weighed(hot, n, v, star), _ROW).write.parquet(f"{path}/weights")
+    drop_table(made)
+    weights = np.zeros(len(hot) + 1)
+    for r in spark.read.schema(_ROW).parquet(f"{path}/weights").where("kind = 'hot'").select("size", "columns").toLocalIterator():  # HOT + 1 numbers in all
+        slot, weight = _unpack(r["size"], bytes(r["columns"]))
+        weights[slot] = weight
+    known = _with_start(hot)
+    counts = np.zeros(len(known), np.int64)
+    counts[known != BOS] = hot_counts
+    counts[known == BOS] = train_docs
+    spark.createDataFrame(list(zip(known.view(np.int64).tolist(), counts.tolist(), weights.tolist())), "word bigint, n bigint, weight double").coalesce(1).write.parquet(f"{path}/hot")
+    meta = {"n": n, "v": v, "train_docs": train_docs, "buckets": buckets, "star": star.tolist()}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
+    release(spark)
+    return Katz(spark, path)
+
+
+def _tokens_dealt(hot: np.ndarray, buckets: int):
+    """documents -> their tokens, counted by bigram and document, by bucket ('x'); a row for each chunk of documents ('head')."""
+
+    def rows(batches):
+        part, serial = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+        size = 0
+
+        def chunk() -> Iterator[tuple]:
+            nonlocal serial
+            ids, out, texts = (list(x) for x in zip(*held))
+            held.clear()
+            number = part << 20 | serial
+            serial += 1
+            token, history, doc = tokens(texts)
+            n = len(texts)
+            del texts
+            length = np.bincount(doc, minlength=n)
+            known = np.array([i is not None for i in ids], bool)
+            yield _pack("head", number % buckets, np.array([number]), np.packbits(known), np.array([i or 0 for i in ids], np.int64), np.packbits(np.array(out, bool)), _small(length))
+            order = np.lexsort((history, doc, token))
+            token, history, doc = token[order], history[order], doc[order]
+            starts = _runs(token, history, doc)
+            times = _lengths(starts, len(token))
+            token, history, doc = token[starts], history[starts], doc[starts]
+            for b, at in _by(_bucket(token, history, hot, buckets), buckets):
+                # Within a word the documents ascend, so their steps are small.
+                yield _pack("x", b, np.array([number]), *_grouped(hot, token[at]), *_named(hot, history[at]), np.diff(doc[at], prepend=0).astype(np.int32), _small(times[at]))
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                size += len(row[2] or "") // 5 + 1
+                if size >= CHUNK or len(held) >> (_LOCAL - 1):
+                    yield from chunk()
+                    size = 0
+        if held:
+            yield from chunk()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(rows(batches))
+        trim()
+
+    return run
+
+
+def _log10(c: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(c, 1).astype(np.float64))
+
+
+def _looked_up(model: Katz):
+    """A bucket's counts and then its tokens -> parts of their documents' scores ('d', by chunk) and what backs off from rare histories ('x', by history)."""
+    hot, hot_counts, hot_weights, buckets = model.hot, model.hot_counts, model.hot_weights, model.buckets
+    floor = float(np.log10(model.n + model.v + 1))
+    logs = np.log10(model.star[1:])
+    known = _with_start(hot)
+    nothing = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def meet(columns: list[np.ndarray], pairs: tuple, words: tuple) -> Iterator[tuple]:
+        number = int(columns[0][0])
+        token, history = np.repeat(_words(hot, *columns[1:4]), columns[4]), _words(hot, *columns[5:8])
+        doc, times = np.cumsum(columns[8].astype(np.int64)), columns[9].astype(np.float64)
+        slot, found = _in(pairs[0], _pair(token, history))
+        c_pair = np.where(found, pairs[1][slot], 0) if len(pairs[0]) else np.zeros(len(token), np.int64)
+        slot, is_hot = _in(hot, token)
+        c_word = np.zeros(len(token), np.int64)
+        c_word[is_hot] = hot_counts[slot[is_hot]]
+        slot, rare = _in(words[0], token)
+        c_word[rare] = words[1][slot[rare]]
+        base = _log10(c_word + 1) - floor
+        unseen, small = c_pair == 0, (c_pair > 0) & (c_pair <= CUT)
+        score = np.where(unseen, base, np.log10(np.maximum(c_pair - TAIL, 0.5)))
+        score[small] = logs[c_pair[small] - 1]
+        # What a word's own tokens weigh as a history is taken off here, once for the token that follows.
+        score -= np.where((token != END) & (c_word > 0), _log10(c_word), 0.0)
+        at = np.flatnonzero(unseen)
+        slot, is_hot = _in(known, history[at])
+        score[at[is_hot]] += hot_weights[slot[is_hot]]
+        docs, inverse = np.unique(doc, return_inverse=True)
+        total = lambda x: np.bincount(inverse, x * times, len(docs))
+        yield _pack("d", number, _small(docs), total(base), total(score), _small(total(c_word > 0).astype(np.int64)))
+        at = at[~is_hot]
+        where = (mix(history[at], 11) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        for b, i in _by(where, buckets):
+            yield _pack("x", b, np.array([number]), history[at][i], _small(doc[at][i]), _small(columns[9][at][i]))
+
+    def rows(batches):
+        now, pairs, words = None, nothing, nothing
+        for kind, key, size, blob in _rows(batches):
+            if key != now:
+                now, pairs, words = key, nothing, nothing
+            columns = _unpack(size, blob)
+            if kind == "n":
+                word, history, n = _bigrams(hot, columns)
+                pair = _pair(word, history)
+                order = np.argsort(pair)
+                pairs = pair[order], n[order].astype(np.int64)
+                del word, history, n, pair, order
+            elif kind == "u":
+                words = columns[0], columns[1].astype(np.int64)
+            elif kind == "head":
+                yield _pack("head", int(columns[0][0]), *columns)
+            else:
+                yield from meet(columns, pairs, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(rows(batches))
+        trim()
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A history bucket's weights and then what backs off from them -> sums by document ('a', by chunk)."""
+
+    def rows():
+        now, known = None, None
+        for kind, key, size, blob in _rows(batches):
+            if key != now:
+                now, known = key, None
+            columns = _unpack(size, blob)
+            if kind == "w":
+                known = columns
+            elif known is not None:
+                slot, found = _in(known[0], columns[1])
+                weight = np.where(found, known[1][slot], 0.0) if len(known[0]) else np.zeros(len(slot))
+                docs, inverse = np.unique(columns[2], return_inverse=True)
+                yield _pack("a", int(columns[0][0]), docs, np.bincount(inverse, weight * columns[3], len(docs)))
+
+    yield from _batched(rows())
+
+
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _add_up(n: int, v: int, train_docs: int, star: np.ndarray, hot_weight: np.ndarray):
+def _added_up(n: int, v: int, train_docs: int):
     """Parts of a chunk's documents -> their rows."""
-    logs = np.zeros(CUT + 1)
-    logs[0] = -np.log10(n + v + 1)
-    logs[1:] = np.log10(star[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values in _groups(batches):
-            head, parts, extra = None, [], []
+            head = next(_unpack(size, blob) for kind, size, blob in values if kind == "head")
+            _, known_id, ids, held, length = head
+            d = len(ids)
+            base, score, known = np.zeros(d), np.zeros(d), np.zeros(d, np.int64)
             for kind, size, blob in values:
-                value = _unpack(size, blob)
                 if kind == "head":
-                    head = value
+                    continue
+                columns = _unpack(size, blob)
+                docs = columns[0]
+                if kind == "a":
+                    score[docs] += columns[1]
                 else:
-                    (parts if kind == "d" else extra).append(value)
-            _, ids, held, count = head
-            d = len(ids)
-            base, score, known = np.zeros(d), np.zeros(d), np.zeros(d, np.int64)
-            for local, b, s, k, small, hot_doc, hot_slot in parts:
-                base[local] += b
-                score[local] += s + small @ logs
-                known[local] += k
-                score += np.bincount(hot_doc, hot_weight[hot_slot], d)
-            for local, a in extra:
-                score[local] += a
-            if train_docs:
+                    base[docs] += columns[1]
+                    score[docs] += columns[2]
+                    known[docs] += columns[3]
+            if train_docs:  # the start's own count, as the first token's history
                 score -= np.log10(train_docs)
-            count = count.astype(np.int64)
-            base -= count * np.log10(n + v + 1)
-            columns = [pa.array(ids, pa.int64()), pa.array(np.unpackbits(held, count=d).astype(bool)), pa.array(count), pa.array(known), pa.array(np.full(d, n, np.int64)), pa.array(base), pa.array(score)]
+            names = np.unpackbits(known_id, count=d).astype(bool)
+            columns = [pa.array(ids, pa.int64(), mask=~names), pa.array(np.unpackbits(held, count=d).astype(bool)), pa.array(length.astype(np.int64)), pa.array(known), pa.array(np.full(d, n, np.int64)), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _OUT.split(", ")])
 
     return run
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; held_out: a condition; the others train."""
-    bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    rows = _read(docs, held_out)
-    hot, hot_counts, n, train_docs = hot_words(rows)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-n // PER_BUCKET))
-    dealt = lambda df: df.repartition(parts, "key").sortWithinPartitions("key")
-    tables = cut(dealt(rows.mapInArrow(_deal(hot, buckets), _BLOB)).mapInArrow(_count(hot, hot_counts, buckets), _BLOB), "katz-counts")
-    release(spark)
-    v, n_r = int((hot_counts > 0).sum()), np.zeros(CUT + 3, np.int64)
-    for r in tables.where("kind = 's'").select("size", "blob").collect():  # one small row per bucket
-        words, by_count = _unpack(r["size"], bytes(r["blob"]))
-        v, n_r = v + words, n_r + by_count
-    star = discounts(n_r)
-    weights = cut(dealt(tables.where("kind = 'h'")).mapInArrow(_weigh(hot, n, v, star), _BLOB), "katz-weights")
-    release(spark)
-    hot_weight = np.zeros(len(hot) + 1)
-    for r in weights.where("kind = 'hot'").select("size", "blob").collect():  # at most HOT + 1 numbers
-        slot, weight = _unpack(r["size"], bytes(r["blob"]))
-        hot_weight[slot] = weight
-    by_chunk = tables.where("kind IN ('d', 'head')").unionByName(weights.where("kind = 'a'"))
-    return dealt(by_chunk).mapInArrow(_add_up(n, v, train_docs, star, hot_weight), _OUT)
+    """Every row scored by a model of those for which the condition held_out is not true."""
+    return fit(docs, held_out).score(docs, held_out)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
