@@ -281,6 +281,37 @@ def test_katz(spark):
     assert (untrained.n_known, untrained.train_tokens, untrained.base_score, untrained.score) == (0, 0, 0.0, 0.0)
 
 
+def test_a_fitted_model_scores_later_documents(spark, tmp_path, monkeypatch):
+    from brute_katz import scores
+
+    monkeypatch.setattr(katz, "PER_BUCKET", 40)  # many buckets
+    monkeypatch.setattr(katz, "HOT", 6)
+    r = random.Random(16)
+    train = [prose(r, r.randrange(0, 60)) for _ in range(60)] + ["the of " * 300, "the of " * 300]
+    later = [*ODD, "the of the of", "unheard of", *[prose(r, 30) for _ in range(20)]]
+    table = docs_of(spark, train).withColumn("key", common.F.lit("k")).withColumn("kind", common.F.lit(1))
+    katz.fit(table, common.F.lit(False), f"file://{tmp_path}/m")
+    model = katz.Katz(spark, f"file://{tmp_path}/m")
+    assert model.buckets > 8 and len(model.hot) <= 6
+    want = scores(train, later)
+    rows = docs_of(spark, later)
+    got = model.score(rows.unionByName(rows.where("doc_id = 1").withColumn("doc_id", common.F.lit(None).cast("long"))), common.F.lit(True)).collect()
+    assert len(got) == len(later) + 1 and all(x.held_out for x in got)
+    for x in got:
+        w = want[1 if x.doc_id is None else x.doc_id]
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (w["n_tokens"], w["n_known"], w["train_tokens"])
+        assert x.base_score == pytest.approx(w["base_score"]) and x.score == pytest.approx(w["score"])
+    pairs = model.bigrams().agg(common.F.sum("n"), common.F.count("*"), common.F.count_distinct("word", "history")).first()
+    assert pairs[0] == want[0]["train_tokens"] and pairs[1] == pairs[2]
+
+
+def test_columns_are_numbers_only():
+    columns = [np.arange(5, dtype=np.uint16), np.array([], np.uint64), np.array([0.5, -1.0]), np.array([-3])]
+    _, _, size, blob = katz._pack("x", 1, *columns)
+    back = katz._unpack(size, blob)
+    assert [c.dtype for c in back] == [c.dtype for c in columns] and all(np.array_equal(a, b) for a, b in zip(back, columns))
+
+
 # Language.
 def test_language(spark):
     r = random.Random(8)
