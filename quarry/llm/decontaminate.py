@@ -6,6 +6,10 @@ no run of that many characters of the item is free of edits, so the seed follows
 as the limit allows, at random places, and one with a typo in every word, each hold a seed with a chance of RECALL at
 least. Fewer edits raise it, and exact passages are always found.
 
+The method asked for, random-walk (CGK) embeddings of item-sized windows with sampled positions as keys, cannot reach
+that recall here: at a similarity of 0.8 two walks agree in 28 to 40 % of their positions, so that samples long enough to
+tell passages from other text would need a million repetitions (README, with figures). Hence seeds.
+
 A candidate's surroundings are looked at first: up to SIDE characters of the item on each side of the seed are to be
 within FRAME_SHARE edits a character of the text there, by bit-parallel dynamic programming over many candidates at once. Of a passage
 within the limit some part has no more than the limit's share of edits; FRAME_SHARE leaves half as much again. Where the
@@ -15,13 +19,17 @@ item's characters.
 
 Defined cases: null and empty texts and items match nothing; an item so short that the limit is no edit matches as whole
 words only; equal items each report; of several places one row per document row and item stays, that of the least
-distance and then the first; repeated rows give repeated results. The benchmark is sent to the tasks in blocks of
-BLOCK_CHARS characters, one pass over the documents for each.
+distance and then the first; repeated rows give repeated results; ids may be of any type and null, and are handed on as
+they are; without documents or without items nothing is found and everything is clean; texts beyond LONG characters are
+searched in pieces that overlap by more than any passage; only doc_id, item_id and the two columns text are read, and
+cleaning hands on all columns, whatever they are called. The benchmark is sent to the tasks in blocks of BLOCK_CHARS
+characters, one pass over the documents for each; if there are several, each pass is written before the next begins.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.common import bound_batches, text_batches, trim
+from quarry.llm.common import bound_batches, cut, text_batches, trim
 
 SIMILARITY = 0.8
 #: Lengths of seeds, in characters, and the least chance that a passage at the limit holds one.
@@ -43,7 +52,9 @@ SIEVE = 20
 #: Stands between texts; no code point.
 SEAM = 0x110000
 BLOCK_CHARS = 16_000_000
-FOUND = "doc_id {kind}, item_id bigint, distance int, item_chars int, first_word bigint, n_words int"
+#: Characters of a text that are searched at once (some 60 bytes of memory each).
+LONG = 2_000_000
+FOUND = "doc_id {kind}, item_id {item}, distance int, item_chars int, first_word bigint, n_words int"
 
 
 @lru_cache(100_000)
@@ -237,6 +248,28 @@ class Items:
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its (item number, distance, first word, words)."""
+        long = {i: t for i, t in enumerate(texts) if t and len(t) > LONG}
+        found = self._find([None if i in long else t for i, t in enumerate(texts)])
+        for i, t in long.items():
+            found[i] = self._pieces(t)
+        return found
+
+    def _pieces(self, text: str) -> list[tuple[int, int, int, int]]:
+        """find() of one long text, in pieces that overlap."""
+        overlap = 4 * int(self.chars.max(initial=0)) + 4 * SIDE
+        at, words, best = 0, 0, {}
+        while True:
+            end = at + max(LONG, 4 * overlap)
+            for k, distance, first, n in self._find([text[at:end]])[0]:
+                best[k] = min(best.get(k, (distance + 1,)), (distance, words + first, n))
+            if end >= len(text):
+                return [(k, *found) for k, found in sorted(best.items())]
+            gap = _GAP.search(text, end - 2 * overlap, end - overlap)
+            step = gap.start() if gap else end - overlap
+            words += sum(1 for _ in _WORD.finditer(text, at, step)) - (gap is None)
+            at = step
+
+    def _find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         out: list[list] = [[] for _ in texts]
         if not self.seeds:
             return out
@@ -275,8 +308,11 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The benchmark's rows in blocks of a bounded size."""
+_GAP, _WORD = re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """The benchmark's rows in blocks of a bounded size, and whether more than one block is needed."""
     rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // BLOCK_CHARS))
@@ -284,18 +320,18 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
         got = [(r[0], r[1]) for r in part.collect()]
         if got:
-            yield got
+            yield got, n > 1
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, distance, item_chars, first_word, n_words of every passage of an item in a document."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    benchmark = benchmark.withColumn("item_id", F.col("item_id").cast("long"))
-    schema = FOUND.format(kind=docs.schema["doc_id"].dataType.simpleString())
+    schema = FOUND.format(kind=docs.schema["doc_id"].dataType.simpleString(), item=benchmark.schema["item_id"].dataType.simpleString())
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     names = [f.split()[0] for f in schema.split(", ")]
     out = None
-    for rows in _blocks(benchmark):
+    for rows, several in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -307,9 +343,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
                     for i, hits in enumerate(items.find(texts)):
                         made += [(ids[at + i], items.ids[k], d, len(items.text[k]), first, n) for k, d, first, n in hits]
                 cols = list(zip(*made)) or [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.column(0).type, item_type, pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=names)
+            trim()
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        if several:
+            part = cut(part, "decontaminate-block")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -318,19 +358,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     """The documents without a passage of any item; all columns as they were."""
     bound_batches(docs.sparkSession)
     at_text = docs.columns.index("text")
-    for rows in _blocks(benchmark):
+    for rows, several in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, similarity)
-            name = None
             for batch in batches:
-                name = batch.schema.names[at_text]
-                keep = [not hits for _, texts in text_batches(batch, name) for hits in items.find(texts)]
+                keep = [not hits for _, texts in text_batches(batch.select([at_text]), batch.schema.names[at_text]) for hits in items.find(texts)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
             trim()
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = cut(docs, "decontaminate-block")
+            sent.destroy()
     return docs
 
 
