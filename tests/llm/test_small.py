@@ -253,6 +253,36 @@ def test_recall_where_few_words_agree(n, share):
     assert recall(r, items, [" ".join(typo(r, w) if r.random() < share else w for w in t.split()) for t in items]) >= 0.9
 
 
+def test_items_with_names_and_in_blocks(spark, monkeypatch):
+    r = random.Random(21)
+    items = made_up(r, 12, 6)
+    bench = spark.createDataFrame([(f"i{n}", t) for n, t in enumerate(items)] + [(None, items[0]), ("x", None), ("y", "")], "item_id string, text string")
+    docs = docs_of(spark, [*ODD, *[f"{prose(r, 9)} {t} {prose(r, 5)}" for t in items]]).withColumn("item_id", common.F.lit(1)).withColumn("distance", common.F.lit(1))
+    order = lambda x: (x.doc_id, str(x.item_id))
+    whole = sorted(decontaminate.scan(docs, bench).collect(), key=order)
+    assert [(x.doc_id - len(ODD), x.item_id) for x in whole if x.item_id] == [(n, f"i{n}") for n in range(6)] and [x.doc_id for x in whole if not x.item_id] == [len(ODD)]
+    kept = decontaminate.clean(docs, bench)
+    assert {x.doc_id for x in kept.collect()} == set(range(len(ODD))) and kept.columns == docs.columns
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    assert sorted(decontaminate.scan(docs, bench).collect(), key=order) == whole
+    assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == set(range(len(ODD)))
+    assert decontaminate.scan(docs.where("false"), bench).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == docs.count()
+
+
+@pytest.mark.parametrize("gap", [" ", ""])
+def test_long_texts_are_searched_in_pieces(monkeypatch, gap):
+    r = random.Random(22)
+    items = made_up(r, 10, 8)
+    text = prose(r, 3000).replace(" ", gap or "_")
+    for t in items:
+        at = r.randrange(len(text))
+        text = text[:at] + " " + t + " " + text[at:]
+    index = decontaminate.Items(list(enumerate(items)))
+    whole = index.find([text])[0]
+    monkeypatch.setattr(decontaminate, "LONG", 500)
+    assert index.find([text, None])[0] == whole and {h[0] for h in whole if not h[1]} >= set(range(7))
+
+
 def test_distances_count_characters(spark):
     item = "la acción según él está aquí así también allí mañana café día niño más río corazón jardín"
     plain = item.translate(str.maketrans("áéíóúñ", "aeioun"))
