@@ -8,7 +8,8 @@ A byte only ever adds one row of a table to a filter's response, so at predictio
 looked-up rows, for pairs of bytes where the width allows it. That changes nothing in the result.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is every text when there is nothing to
-learn from. Texts of any length are read whole. Repeated rows give repeated results; only id and text are read.
+learn from. Texts of any length are read whole, their windows a group at a time. Repeated rows give repeated results; an
+empty table gives an empty table; only id and text are read, and other columns are handed on, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ FILTERS = 16
 DIM = 8
 #: The fit's only bound: labelled windows per language that the driver trains on.
 SAMPLE_PER_LANGUAGE = 1500
+#: What a document's score must have of the way from chance (one in the number of languages) to certainty for identify() to keep it.
+LEAST_SHARE = 0.1
 #: Languages the model can tell apart; beyond it the fit refuses rather than drop one.
 MOST_LANGUAGES = 1000
 STEPS, BATCH, RATE = 500, 64, 4e-3
@@ -151,8 +154,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return net
 
 
-def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in keep, lang_pred and score of every row."""
+def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep, lang_pred and score (or as names call them) of every row."""
+    made = names
     bound_batches(docs.sparkSession)
     spec = None if net is None else (net.languages, net.p)
 
@@ -200,7 +204,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "lang_pred string, score double"])
     read = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("t"))
     out = read.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "lang_pred", "score")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], F.col("lang_pred").alias(made[0]), F.col("score").alias(made[1]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +213,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, net, ["doc_id"]).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """documents without those whose language cannot be told (`und`); all columns as they were."""
+def identify(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """documents without those whose language cannot be told, all columns as they were: `und`, or a prediction hardly better than chance."""
     net = fit(docs.where(bucket_of("doc_id", 4) != 2))
-    return predict(docs, net, docs.columns).where(F.col("lang_pred") != "und").select(*docs.columns)
+    if net is None:
+        return docs.where("false")
+    chance = 1 / len(net.languages)
+    lang, score = ("_".join((*docs.columns, n)) for n in ("lang_pred", "score"))  # names that no column has
+    told = predict(docs, net, docs.columns, names=(lang, score))
+    return told.where((F.col(lang) != "und") & (F.col(score) >= chance + least * (1 - chance))).select(*docs.columns)
