@@ -12,28 +12,32 @@ from quarry.llm import bpe, decontaminate, jaccard, langid, secrets
 from quarry.llm.common import cut
 
 
+# All stages: columns besides those of documents are handed on unread, an empty table stays empty, and repeated rows
+# share their fate but for duplicates, of which a repeated doc_id is none. A null text has no letter and goes first.
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (null or without a letter) go."""
+    """Documents whose language cannot be told go: null, without a letter, or scored hardly better than chance. A null lang is not learned from."""
     return langid.identify(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by word five-grams at a similarity of 0.8 or more, the one with the least id stays."""
+    """Of documents linked by word five-grams at a similarity of 0.8 or more, the one with the least id stays; texts without words and null ids stay."""
     return jaccard.deduplicate(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; null and empty items are held by none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark, and n_chars follows; every document stays."""
     return secrets.redact(docs)
 
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the decoded text."""
+    """Token ids of each document (a null text: none), with digests of the ids and of the decoded text."""
     return bpe.encode(docs)
 
 
