@@ -12,20 +12,28 @@ occurs inside compressed data fails that test, and its bytes go back to the memb
 range in which it starts; where a range's last member was cut by such a false magic beyond its end, the pieces are
 joined afterwards by file and offset (rare, and only those pieces are shuffled).
 
-Defined cases: a null html is an empty payload; null page_ids are written without an id and never refer or are
-referred to while a page_id is known; repeated rows are repeated records; an empty table gives an empty archive and an
-empty result. Only page_id, url and html are read.
+Any archive of single-record members can be read: header names in any case, with or without a space after the colon;
+the payload of an HTTP response is what follows its header (as sent, chunks and codings included); digest_ok says whether
+a SHA-1 digest that the record states is the payload's.
+
+Defined cases: a null html is an empty payload; null page_ids are written with an id made from url and payload, read back as
+null, and never refer or are referred to while a page_id is known; repeated rows are repeated records, of the same id; an
+empty table gives an empty archive and an empty result; a payload of any length is one member, held whole by its task. A
+revisit that states no length has a null payload_bytes. Only page_id, url and html are read, whatever other columns are
+called.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +42,7 @@ from quarry.llm.common import bound_batches, cut, fresh_path
 
 MAGIC = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
-RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
+RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, digest_ok boolean, payload binary"
 _NAMES = [f.split()[0] for f in RECORD.split(", ")]
 
 
@@ -48,11 +56,11 @@ def _member(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One record, header and block, as it stands in an archive before compression."""
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if revisit else b"response")]
-    if page_id is not None:
-        head.append(b"WARC-Record-ID: <urn:page:%d>" % page_id)
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Date: " + date.encode()]
+    made = f"urn:page:{page_id}" if page_id is not None else uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {hashlib.sha256(payload).hexdigest()}").urn
+    head.append(f"WARC-Record-ID: <{made}>".encode())
     if url is not None:
         head.append(b"WARC-Target-URI: " + "".join(c if c.isprintable() and c != " " else "%" + c.encode().hex("%").upper() for c in url).encode("utf-8", "surrogatepass"))
     head.append(b"WARC-Payload-Digest: sha1:" + base32_sha1(payload).encode())
@@ -66,28 +74,43 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _page(uri: str | None) -> int | None:
+    found = re.fullmatch(r"<?urn:page:(-?\d+)>?", uri or "")
+    return int(found[1]) if found else None
+
+
 def parse_record(data: bytes) -> dict:
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:] if b": " in line)
-    number = lambda k: int(fields[k].rsplit(b":", 1)[1].rstrip(b">")) if k in fields else None
-    block = rest[: int(fields.get(b"Content-Length", b"0"))]
-    digest = fields.get(b"WARC-Payload-Digest", b"").rpartition(b":")[2].decode() or base32_sha1(block)
-    url = fields.get(b"WARC-Target-URI")
-    kind = fields.get(b"WARC-Type", b"").decode()
+    fields: dict[str, str] = {}
+    for line in head.split(b"\r\n")[1:]:
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    length = fields.get("content-length", "")
+    block = rest[: int(length)] if length.isdecimal() else rest.removesuffix(b"\r\n\r\n")
+    payload = block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
+    kind = fields.get("warc-type", "")
+    stated = fields.get("x-payload-length", "")
+    algorithm, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
+    mine = base32_sha1(payload)
     return {
-        "page_id": number(b"WARC-Record-ID") if b"urn:page:" in fields.get(b"WARC-Record-ID", b"") else None,
-        "url": None if url is None else url.decode("utf-8", "replace"),
+        "page_id": _page(fields.get("warc-record-id")),
+        "url": fields.get("warc-target-uri"),
         "record_type": kind,
-        "refers_to": number(b"WARC-Refers-To") if b"urn:page:" in fields.get(b"WARC-Refers-To", b"") else None,
-        "payload_bytes": int(fields.get(b"X-Payload-Length", len(block))),
-        "payload_digest": digest,
-        "payload": None if kind == "revisit" else block,
+        "refers_to": _page(fields.get("warc-refers-to")),
+        "payload_bytes": int(stated) if stated.isdecimal() else None if kind == "revisit" else len(payload),
+        "payload_digest": digest or (None if kind == "revisit" else mine),
+        "digest_ok": None if kind == "revisit" or algorithm.lower() not in ("sha1", "") or not digest else digest.upper() == mine,
+        "payload": None if kind == "revisit" else payload,
     }
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write one record per row under path. Equal payloads of at least least_bytes are stored once."""
+def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None) -> None:
+    """Write one record per row under path, dated date (now). Equal payloads of at least least_bytes are stored once."""
     bound_batches(pages.sparkSession)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     keyed = raw.withColumn("key", F.sha2("payload", 256))
     # One row per payload that occurs more than once: written out, so that the join below splits a hot payload's rows.
@@ -99,7 +122,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
             out = []
             for page_id, url, payload, owner in zip(*(c.to_pylist() for c in batch.columns)):
                 revisit = owner is not None and page_id != owner
-                member = _member(record_bytes(page_id, url, payload, owner if revisit else None, revisit))
+                member = _member(record_bytes(page_id, url, payload, owner if revisit else None, revisit, date))
                 out.append(member[:-1] if member[-1] == 0 else member + _EMPTY_MEMBER[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
@@ -203,25 +226,30 @@ def records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     found = cut(found if payloads else found.drop("payload"), "warc-read")
     names = [n for n in _NAMES if payloads or n != "payload"]
     whole = found.where("kind = 'record'").select(*names)
-    loose = found.where("kind <> 'record'").select("file", "at", "seq", "kind", "piece")
+    # The pieces of a file come in order, and no more than one member is held.
+    loose = found.where("kind <> 'record'").select("file", "at", "seq", "kind", "piece").repartition("file").sortWithinPartitions("file", "at", "seq")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, held = [], None
-        for kind, piece in pdf.sort_values(["at", "seq"])[["kind", "piece"]].itertuples(index=False):
-            held = piece if kind == "tail" else held + piece if held is not None else None
-            data = _complete(held) if held is not None else None
-            if data is not None:
-                rows.append(parse_record(data))
-                held = None
-        return pd.DataFrame(rows, columns=_NAMES).astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            rows = []
+            for file, kind, piece in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4))):
+                if file != now:
+                    now, held = file, None
+                held = piece if kind == "tail" else held + piece if held is not None else None
+                data = _complete(held) if held is not None else None
+                if data is not None:
+                    rows.append(parse_record(data))
+                    held = None
+            yield pa.RecordBatch.from_pylist(rows, schema=_RECORD_SCHEMA)
 
-    return whole.unionByName(loose.groupBy("file").applyInPandas(join, RECORD).select(*names))
+    return whole.unionByName(loose.mapInArrow(join, RECORD).select(*names))
 
 
-_PIECE_SCHEMA = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
-    + [("file", pa.string()), ("at", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("piece", pa.binary())]
+_RECORD_SCHEMA = pa.schema(
+    [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("payload", pa.binary())]
 )
+_PIECE_SCHEMA = pa.schema([*_RECORD_SCHEMA, *[pa.field(n, t) for n, t in (("file", pa.string()), ("at", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("piece", pa.binary()))]])
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
