@@ -19,10 +19,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where it is unset and all runs on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
@@ -94,7 +96,7 @@ def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch (beyond it only a single longer row). Batches live outside the heap and, decoded, in Python workers.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

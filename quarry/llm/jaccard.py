@@ -360,7 +360,9 @@ def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in full], pa.int64())), pa.array([node_of(s) for _, s in full], pa.int64()), pa.array([s.tobytes() for _, s in full], pa.binary())], names=["doc_id", "node", "set"])
         trim()
 
-    placed = members.select("node", "doc_id", "cluster", "cells", "docs", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell")).join(read.mapInArrow(sets, f"doc_id {kind}, node bigint, set binary"), ["node", "doc_id"])
+    placed = members.select("node", "doc_id", "cluster", "cells", "docs", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"))
+    # The same join at every size: few members would else be broadcast, and what is shuffled then jump as they grow.
+    placed = placed.hint("merge").join(read.mapInArrow(sets, f"doc_id {kind}, node bigint, set binary"), ["node", "doc_id"])
     # A cell meets every cell of its cluster once; a set goes to `cells` tasks, most often to one.
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     met = met.select("cluster", F.least("cell", "with").alias("i"), F.greatest("cell", "with").alias("j"), F.when(F.col("cell") > F.col("with"), 1).otherwise(0).alias("side"), "node", "docs", "set")
