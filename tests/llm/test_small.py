@@ -401,6 +401,27 @@ def test_false_magic_within_members():
     assert kinds[:2] == ["record", "tail"] and "head" in kinds
 
 
+def test_records_of_other_writers():
+    body = b"<html>caf\xc3\xa9</html>"
+    head = b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <urn:uuid:1>\r\nWarc-Target-Uri:http://h/x\r\nContent-type: application/http; msgtype=response\r\nWARC-Payload-Digest: SHA1:%s\r\n"
+    block = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+    for digest, ok in ((warc.base32_sha1(body).encode(), True), (warc.base32_sha1(b"").encode().lower(), False)):
+        got = warc.parse_record(head % digest + b"CONTENT-LENGTH: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
+        assert (got["page_id"], got["url"], got["record_type"], got["payload"], got["payload_bytes"], got["digest_ok"]) == (None, "http://h/x", "response", body, len(body), ok)
+    bare = warc.parse_record(b"WARC/1.1\r\nWARC-Type: revisit\r\n\r\n")
+    assert (bare["record_type"], bare["payload_bytes"], bare["payload_digest"], bare["payload"]) == ("revisit", None, None, None)
+    own = warc.record_bytes(None, "u", b"x", None, False, "2024-01-02T03:04:05Z")
+    assert b"WARC-Date: 2024-01-02T03:04:05Z\r\n" in own and b"WARC-Record-ID: <urn:uuid:" in own and warc.parse_record(own)["page_id"] is None
+
+
+def test_archive_of_nothing(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "h", "p", "k")], "page_id bigint, url string, html string, payload string, key string")
+    warc.write(table.where("false"), f"file://{tmp_path}/none")
+    assert warc.records(spark, f"file://{tmp_path}/none").count() == 0
+    warc.write(table, f"file://{tmp_path}/one")
+    assert [(x.page_id, x.payload, x.digest_ok) for x in warc.records(spark, f"file://{tmp_path}/one").collect()] == [(1, b"h", True)]
+
+
 # HTML.
 def test_html(spark):
     body = '<html><head><title>T</title><style>x</style><script>if(a<b)"</p>"</script></head><body><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies.</div><article><h1>Big &amp; small</h1><p>One\n two&nbsp;three<p>Four <b>five<br>six</article><div id="comments"><p>Nice post, really, I liked it very much.</p></div><form>Send</form><footer>&copy; x</footer></body></html>'
