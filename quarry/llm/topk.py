@@ -115,23 +115,30 @@ def search_annuli(pivots: Pivots, queries: np.ndarray, query_ids: np.ndarray, fl
         return np.sqrt(np.maximum(span - 2.0 * scores, 0)) + 1e-6 * (1 + np.sqrt(span))
 
     limit = np.where(floor == _NONE, np.inf, radius(floor.astype(np.float64), every))
-    bounds = [np.maximum(np.maximum(dist[0] - dq[:, p], dq[:, p] - dist[-1]), 0) for p, _, _, dist in cells]
-    # Nearest annuli first, so that the bounds tighten before the far ones are looked at.
-    for at in np.argsort([b.mean() for b in bounds], kind="stable"):
-        open_ = np.flatnonzero(bounds[at] <= limit)
+    first, last, of = (np.array([c[3][0] for c in cells]), np.array([c[3][-1] for c in cells]), np.array([c[0] for c in cells]))
+    bounds = np.maximum(np.maximum(first - dq[:, of], dq[:, of] - last), 0)
+    # Each query goes outwards from its own distance to the pivots, ring by ring, and stops at the first that its bound rules out: all later ones lie farther.
+    outward = np.argsort(bounds, axis=1, kind="stable")
+    open_ = every
+    for step in range(len(cells)):
+        ring = outward[open_, step]
+        on = bounds[open_, ring] <= limit[open_]
+        open_, ring = open_[on], ring[on]
         if not len(open_):
-            continue
-        _, ids, x, _ = cells[at]
-        scores = products(queries[open_], x)
-        scores[query_ids[open_][:, None] == ids[None]] = _NONE
-        worth = np.flatnonzero(scores.max(1) >= np.maximum(best[open_, k - 1], floor[open_]))
-        if not len(worth):
-            continue
-        rows = open_[worth]
-        s, i = _top(np.concatenate([best[rows], scores[worth]], 1), np.concatenate([who[rows], np.broadcast_to(ids, (len(rows), len(ids)))], 1), k)
-        best[rows], who[rows] = s, i
-        full = rows[best[rows, k - 1] != _NONE]
-        limit[full] = np.minimum(limit[full], radius(best[full, k - 1].astype(np.float64), full))
+            break
+        for at in np.unique(ring):
+            rows = open_[ring == at]
+            _, ids, x, _ = cells[at]
+            scores = products(queries[rows], x)
+            scores[query_ids[rows][:, None] == ids[None]] = _NONE
+            worth = np.flatnonzero(scores.max(1) >= np.maximum(best[rows, k - 1], floor[rows]))
+            if not len(worth):
+                continue
+            rows = rows[worth]
+            s, i = _top(np.concatenate([best[rows], scores[worth]], 1), np.concatenate([who[rows], np.broadcast_to(ids, (len(rows), len(ids)))], 1), k)
+            best[rows], who[rows] = s, i
+            full = rows[best[rows, k - 1] != _NONE]
+            limit[full] = np.minimum(limit[full], radius(best[full, k - 1].astype(np.float64), full))
     return best, who
 
 
@@ -174,7 +181,7 @@ def _search_dim(table: DataFrame, dim: int, m2: float, is_query, k: int) -> Data
     # The id breaks ties, so that equal vectors do not all meet in one range.
     index = cut(keyed.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id"), "topk-index")
 
-    queries = cut(table.where(is_query).select("vec_id", "x").dropDuplicates(["vec_id"]), "topk-queries")
+    queries = cut(table.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")), "topk-queries")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parts = []
     for block in range(n_blocks):
