@@ -28,8 +28,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIM = 8
-#: The fit's only bound: labelled windows per language that the driver trains on.
-SAMPLE_PER_LANGUAGE = 1500
+#: The fit's only bounds: labelled windows that the driver trains on, per language and in all (256 bytes each).
+SAMPLE_PER_LANGUAGE, SAMPLE = 1500, 60_000
 #: What a document's score must have of the way from chance (one in the number of languages) to certainty for identify() to keep it.
 LEAST_SHARE = 0.1
 #: Languages the model can tell apart; beyond it the fit refuses rather than drop one.
@@ -128,27 +128,28 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Network | None:
-    """Train on one window, at a hashed place, of a hashed sample of the labelled rows: SAMPLE_PER_LANGUAGE each."""
+    """Train on one window, at a hashed place, of a hashed sample of the labelled rows: SAMPLE_PER_LANGUAGE each, SAMPLE in all."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).alias("l")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return None
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels")
+    per_language = min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts))
     # Rows of a language are taken with the probability that gives somewhat more than the bound; the limit below trims.
-    share = F.create_map(*[F.lit(v) for l, n in counts.items() for v in (l, min(1.0, 1.3 * SAMPLE_PER_LANGUAGE / n))])
+    share = F.create_map(*[F.lit(v) for l, n in counts.items() for v in (l, min(1.0, 1.3 * per_language / n))])
     hashed = F.xxhash64(F.col(id_col), F.length(text_col))
     picked = rows.where(F.pmod(hashed, F.lit(1 << 20)) / float(1 << 20) < share[F.col(label_col)])
     start = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.greatest(F.length(text_col) - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
     sample = picked.select(F.col(label_col).alias("l"), F.col(text_col).substr(start, F.lit(WINDOW)).alias("t"), hashed.alias("h"))
-    got = sample.orderBy("h", "l", "t").limit(int(1.5 * SAMPLE_PER_LANGUAGE * len(counts)) + 1000).collect()
+    got = sample.orderBy("h", "l", "t").limit(int(1.5 * per_language * len(counts)) + 1000).collect()
     languages = sorted(counts)
     x = np.stack([windows((r["t"] or "").encode()[:WINDOW])[0] for r in got])
     y = np.array([languages.index(r["l"]) for r in got])
     # Each language weighs alike: draw as many windows of each.
     r = np.random.default_rng(11)
     per = [np.flatnonzero(y == k) for k in range(len(languages))]
-    even = np.concatenate([r.choice(p, SAMPLE_PER_LANGUAGE, replace=len(p) < SAMPLE_PER_LANGUAGE) for p in per if len(p)])
+    even = np.concatenate([r.choice(p, per_language, replace=len(p) < per_language) for p in per if len(p)])
     net = Network(languages)
     net.train(x[even], y[even])
     return net
