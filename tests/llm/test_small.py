@@ -655,3 +655,54 @@ def test_rows_without_some_ids(spark, monkeypatch, bits):
     assert left.columns == rows.columns and {r.slot for r in left.collect()} == {i for i in range(300) if not i % 11 or i % 7}
     some, rest = common.perhaps(rows, ids, "doc_id")
     assert some.count() + rest.count() == 300 and not {r.doc_id for r in rest.collect()} & set(range(0, 300, 7))
+
+
+# Names that the operators use themselves, empty tables, and texts of some megabytes.
+CLASH = "key node other cluster cell cells docs least size root others a b id ids n_tokens t c0 c1 lang_pred score dim pivot dist spans slot word bits value kind columns held bucket version n seq x".split()
+
+
+def crowded(table):
+    return table.select("*", *[common.F.lit("z").alias(c) for c in CLASH if c not in table.columns])
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_clashing_names_change_nothing(spark):
+    r = random.Random(41)
+    docs = docs_of(spark, [*ODD, *[prose(r, 40) for _ in range(8)], prose(r, 40) + " secret=abcdefgh1"])
+    vectors = spark.createDataFrame([(i, [float(i % 7), 0.5, -0.25 * i]) for i in range(60)], "vec_id bigint, embedding array<float>")
+    net = langid.fit(docs)
+    for run in (
+        lambda d: jaccard.join(d).select("doc_id", "n_shingles", "component_id", "n_links"),
+        lambda d: jaccard.deduplicate(d).select("doc_id", "text"),
+        lambda d: bpe.encode(d).select("doc_id", "ids_sha256"),
+        lambda d: secrets.scan(d).select("doc_id", "spans"),
+        lambda d: secrets.redact(d).select("doc_id", "text", "n_chars"),
+        lambda d: langid.predict(d, net, ["doc_id"]).select("doc_id", "lang_pred", "score"),
+        lambda d: langid.identify(d).select("doc_id", "text"),
+        lambda d: katz.score(d, common.F.col("doc_id") == 3).select("doc_id", "n_tokens", "n_known"),
+        lambda d: rollups.counted(d, "words-1", "bytes-1"),
+    ):
+        assert rows_of(run(crowded(docs))) == rows_of(run(docs))
+    assert jaccard.deduplicate(crowded(docs)).columns == crowded(docs).columns
+    search = lambda v: topk.search(topk.usable(v), common.F.col("vec_id") % 50 == 0)
+    assert rows_of(search(crowded(vectors))) == rows_of(search(vectors))
+
+
+def test_empty_tables(spark):
+    none = docs_of(spark, [])
+    for df in (bpe.encode(none), secrets.redact(none), jaccard.deduplicate(none), langid.identify(none), katz.score(none, common.F.lit(False))):
+        assert df.count() == 0
+    assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_texts_of_megabytes(spark):
+    long = " ".join(f"word{i % 5000} {i}" for i in range(150_000))
+    docs = docs_of(spark, [long, long + " end", "short text here"])
+    assert [(x.doc_id, x.component_id) for x in jaccard.join(docs).orderBy("doc_id").collect()] == [(0, 0), (1, 0), (2, 2)]
+    assert {x.doc_id: x.n_tokens for x in katz.score(docs, common.F.col("doc_id") == 1).collect()} == {0: 300_001, 1: 300_002, 2: 4}
+    bench = spark.createDataFrame([(0, "word77 5077 word78")], "item_id bigint, text string")
+    assert [x.doc_id for x in decontaminate.scan(docs, bench).orderBy("doc_id").collect()] == [0, 1]
+    assert one_page(f"<article><p>{long}</p></article>") == long
