@@ -29,6 +29,7 @@ rows it met before.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ CUT, TAIL = 5, 0.1
 #: The most frequent words that are sent to all tasks (24 bytes each); with the start mark their numbers have 16 bits.
 HOT = 50_000
 #: Tokens that a mapper packs at once, and training tokens of a bucket.
-CHUNK, PER_BUCKET = 1_000_000, 2_000_000
+CHUNK, PER_BUCKET = 1_000_000, 3_000_000
 END, BOS = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xB050_0000_0000_0001)
 _ROW = "kind string, key bigint, size bigint, columns binary"
 _LOCAL = 22  # bits of a document's number in its chunk
@@ -55,7 +56,7 @@ _TYPE = re.compile(r"([<|][uif][1248])(\d+)")
 def _pack(kind: str, key: int, *columns: np.ndarray) -> tuple:
     head = " ".join(f"{c.dtype.str}{len(c)}" for c in columns).encode() + b"\n"
     raw = head + b"".join(c.tobytes() for c in columns)
-    return kind, key, len(raw), pa.compress(raw, "zstd", asbytes=True)
+    return kind, key, len(raw), pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
 
 
 def _unpack(size: int, blob: bytes) -> list[np.ndarray]:
@@ -157,6 +158,18 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return token, history, np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind: each goes when its write is over, not at some later collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _read(docs: DataFrame, held_out) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.col("text").alias("text"))
 
@@ -369,7 +382,8 @@ class Katz:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(self.buckets, 4096))
         dealt = lambda df: df.repartition(parts, "key").sortWithinPartitions("key", "kind")
         met = _read(docs, held_out).mapInArrow(_tokens_dealt(self.hot, self.buckets), _ROW).unionByName(self._table("counts").where("kind IN ('n', 'u')"))
-        found = cut(dealt(met).mapInArrow(_looked_up(self), _ROW), "katz-parts")
+        with _shuffles_end(self.spark):
+            found = cut(dealt(met).mapInArrow(_looked_up(self), _ROW), "katz-parts")
         release(self.spark)
         asked = found.where("kind = 'x'").unionByName(self._table("weights").where("kind = 'w'"))
         answers = dealt(asked).mapInArrow(_answered, _ROW)
@@ -386,7 +400,8 @@ def fit(docs: DataFrame, held_out, path: str | None = None) -> Katz:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-n // PER_BUCKET))
     dealt = lambda df: df.repartition(max(parts, min(buckets, 4096)), "key").sortWithinPartitions("key")
-    made = cut(dealt(rows.mapInArrow(_counted(hot, buckets), _ROW)).mapInArrow(_merged(hot, hot_counts, buckets), _ROW), "katz-merged")
+    with _shuffles_end(spark):
+        made = cut(dealt(rows.mapInArrow(_counted(hot, buckets), _ROW)).mapInArrow(_merged(hot, hot_counts, buckets), _ROW), "katz-merged")
     release(spark)
     v, n_r = int((hot_counts > 0).sum()), np.zeros(CUT + 3, np.int64)
     for r in made.where("kind = 's'").select("size", "columns").toLocalIterator():  # one small row a bucket
@@ -394,7 +409,8 @@ def fit(docs: DataFrame, held_out, path: str | None = None) -> Katz:
         v, n_r = v + int(words[0]), n_r + by_count
     star = discounts(n_r)
     made.where("kind IN ('n', 'u')").write.parquet(f"{path}/counts")
-    dealt(made.where("kind = 'h'")).mapInArrow(_weighed(hot, n, v, star), _ROW).write.parquet(f"{path}/weights")
+    with _shuffles_end(spark):
+        dealt(made.where("kind = 'h'")).mapInArrow(_weighed(hot, n, v, star), _ROW).write.parquet(f"{path}/weights")
     drop_table(made)
     weights = np.zeros(len(hot) + 1)
     for r in spark.read.schema(_ROW).parquet(f"{path}/weights").where("kind = 'hot'").select("size", "columns").toLocalIterator():  # HOT + 1 numbers in all
