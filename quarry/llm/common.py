@@ -48,6 +48,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind: each goes when its write is over, not at some later collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def trim() -> None:
     """Give memory that a Python worker has freed back to the system, where the C library can."""
     with contextlib.suppress(OSError, AttributeError):

@@ -7,6 +7,12 @@ agree in a range are brought together through the least node of that range (a st
 candidate clusters that no link leaves. The ranges' keys travel once: a task first joins the equal keys of its own
 documents, so that a key which many documents have sends one row a task, and what meets at a key is a sorted stream.
 
+Texts that share a phrase by chance agree in a range now and then, and beyond some number of documents such pairs chain
+a part of the whole table into one cluster. So a cluster beyond a cell is taken apart once more. Of all R ranges linked
+sets agree in R - H at least. Its nodes name all that are not empty; a key of at most COMMON nodes gives its pairs, and a
+pair stays that shares as many of these keys as either node's R - H leaves after its empty ranges and commoner keys.
+Nodes for which that is nothing (members of large groups, mostly) are joined by stars as before, among themselves.
+
 Within a cluster the count vectors do the work: shingles are hashed into GROUPS groups, and a set is the point of its
 group counts. An R-tree over the points bounds the overlap with everything below a tree node by the summed minima of
 the query's coordinates and the node's upper corner; what reaches the required overlap at the leaves is verified on the
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, cut, drop_table, mix, perhaps, release, text_batches, trim, without, word_hashes
+from quarry.llm.common import bound_batches, cut, drop_table, mix, perhaps, release, shuffles_end, text_batches, trim, without, word_hashes
 from quarry.llm.graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -39,6 +45,8 @@ GROUPS = 64
 #: Nodes of one cell of a large cluster, and bytes of their sets; a task holds two cells.
 CELL, CELL_BYTES = 512, 16_000_000
 LEAF = 32
+#: Nodes of a key that gives all its pairs when a large cluster is taken apart.
+COMMON = 8
 #: Keys that a task gathers before it joins equal ones.
 GATHER = 1_000_000
 
@@ -90,14 +98,9 @@ def most_apart(n: int, m: int, percent: int) -> int:
     return (100 - percent) * (n + m) // (100 + percent)
 
 
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of ranges of the hash space, for the set's size band and, near its upper edge, the next band too.
-
-    A band has more ranges than its largest sets can differ in. Linked sets of which one has this size differ in at
-    most `apart` ranges, so they agree in at least ranges - apart; the fullest of those is, in either set, among the
-    apart + 1 fullest ranges. Only these are named: near-empty ranges, which unrelated sets share, are left out.
-    """
-    n, out = len(s), []
+def _banded(s: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(band, most ranges in which linked sets differ, keys of all ranges, their sizes) for the set's size band and, near its upper edge, the next band too."""
+    n = len(s)
     band = int(np.searchsorted(_BOUNDS, n, side="right")) - 1
     apart = most_apart(n, 100 * n // percent, percent)
     with np.errstate(over="ignore"):
@@ -111,10 +114,22 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
             part = ((s >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
             size = edges[1:] - edges[:-1]
-            pick = np.argsort(-size, kind="stable")[: apart + 1]
-            content = (sums[edges[1:]] - sums[edges[:-1]])[pick] + size[pick].astype(np.uint64)
-            out.append(mix(mix(content, 7) ^ (pick.astype(np.uint64) + np.uint64(b << 40)), 8))
-    return np.concatenate(out).view(np.int64)
+            content = (sums[edges[1:]] - sums[edges[:-1]]) + size.astype(np.uint64)
+            yield b, apart, mix(mix(content, 7) ^ (np.arange(ranges, dtype=np.uint64) + np.uint64(b << 40)), 8), size
+
+
+def _fullest(apart: int, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return keys[np.argsort(-size, kind="stable")[: apart + 1]]
+
+
+def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of ranges of the hash space, for the set's size band and, near its upper edge, the next band too.
+
+    A band has more ranges than its largest sets can differ in. Linked sets of which one has this size differ in at
+    most `apart` ranges, so they agree in at least ranges - apart; the fullest of those is, in either set, among the
+    apart + 1 fullest ranges. Only these are named: near-empty ranges, which unrelated sets share, are left out.
+    """
+    return np.concatenate([_fullest(*x) for _, *x in _banded(s, percent)]).view(np.int64)
 
 
 def nodes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -204,6 +219,103 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([ready.column(1), pa.array(a)]), pa.concat_arrays([ready.column(2), pa.array(b)])], names=["a", "b"])
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, band, need), sorted by key, node and band -> of keys that at most COMMON nodes have their pairs, as (a, b, band, number of keys), of commoner ones (node, null, band, -1), and rows with a need as (node, null, band, need)."""
+    held = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.int32)]  # the last key's rows while they are few
+    common = None  # the last key once they are not
+
+    def found(key: np.ndarray, node: np.ndarray, band: np.ndarray, every: np.ndarray) -> pa.RecordBatch:
+        """every: of each row the rows that its key has."""
+        many = every > COMMON
+        a, b, of = ([np.empty(0, t)] for t in (np.int64, np.int64, np.int32))
+        for d in range(1, COMMON):
+            at = np.flatnonzero((key[:-d] == key[d:]) & ~many[d:])
+            a.append(node[at])
+            b.append(node[at + d])
+            of.append(band[at])
+        a, b, of = map(np.concatenate, (a, b, of))
+        order = np.lexsort((of, b, a))
+        a, b, of = a[order], b[order], of[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (of[1:] != of[:-1])
+        starts = np.flatnonzero(new)
+        n = np.diff(np.append(starts, len(a)))
+        b = pa.concat_arrays([pa.array(b[starts], pa.int64()), pa.nulls(int(many.sum()), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((a[starts], node[many]))), b, pa.array(np.concatenate((of[starts], band[many]))), pa.array(np.concatenate((n, np.full(many.sum(), -1))).astype(np.int32))], names=["a", "b", "band", "n"])
+
+    last = None  # a repeated doc_id repeats its rows, which are next to each other
+    for batch in batches:
+        if not len(batch):
+            continue
+        once = np.ones(len(batch), bool)
+        columns = [np.asarray(batch.column(i)) for i in range(3)]
+        once[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        once[0] = last != tuple(int(c[0]) for c in columns)
+        last = tuple(int(c[-1]) for c in columns)
+        batch = batch.filter(pa.array(once))
+        made = batch.column(3).is_valid()
+        ready = batch.filter(made)
+        yield pa.RecordBatch.from_arrays([ready.column(1), pa.nulls(len(ready), pa.int64()), ready.column(2), ready.column(3)], names=["a", "b", "band", "n"])
+        plain = ~np.asarray(made.to_numpy(zero_copy_only=False), bool)
+        rows = [np.concatenate((h, np.asarray(batch.column(i))[plain])) for i, h in enumerate(held)]
+        if not len(rows[0]):
+            continue
+        key = rows[0]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        starts = np.flatnonzero(new)
+        count = np.diff(np.append(starts, len(key)))
+        count[0] += (COMMON + 1) * (common == int(key[0]))
+        common = int(key[-1]) if count[-1] > COMMON else None
+        end = len(key) if common is not None else int(starts[-1])
+        yield found(*(c[:end] for c in rows), np.repeat(count, np.diff(np.append(starts, len(key))))[:end])
+        held = [c[end:] for c in rows]
+    if len(held[0]):
+        yield found(*held, np.full(len(held[0]), len(held[0])))
+
+
+def _apart(large: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The stars (a, b) of the nodes of large clusters (node, doc_id, cluster) that still may be linked."""
+
+    def named(all_ranges: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held: list[tuple] = []
+                sets = (s for _, texts in text_batches(batch, "text") for s in shingle_sets(texts, k))
+                for c, node, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets):
+                    for band, apart, keys, size in _banded(s, percent) if len(s) and node_of(s) == node else ():
+                        use = keys[size > 0] if all_ranges else _fullest(apart, keys, size)
+                        use = mix(use ^ np.uint64(c & 0xFFFFFFFFFFFFFFFF), 9).view(np.int64)
+                        held.append((use, node, band, None))
+                        if all_ranges:
+                            held.append((np.array([node]), node, band, int((size > 0).sum()) - apart))
+                if held:
+                    n = [len(x[0]) for x in held]
+                    need = pa.array([x[3] for x in held], pa.int32()).take(pa.array(np.repeat(np.arange(len(held)), n)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in held])), pa.array(np.repeat(np.array([x[1] for x in held], np.int64), n)), pa.array(np.repeat(np.array([x[2] for x in held], np.int32), n)), need], names=["key", "node", "band", "need"])
+            trim()
+
+        return run
+
+    def rows(ids: DataFrame, all_ranges: bool) -> DataFrame:
+        some, _ = perhaps(docs.select("doc_id", "text"), ids.select("doc_id"), "doc_id")
+        texts = some.hint("merge").join(ids, "doc_id").select("text", "cluster", "node")
+        return texts.mapInArrow(named(all_ranges), "key bigint, node bigint, band int, need int")
+
+    met = cut(rows(large, True).repartition("key").sortWithinPartitions("key", "node", "band").mapInArrow(_pairs, "a bigint, b bigint, band int, n int"), "jaccard-met")
+    need = cut(met.where("b IS NULL").groupBy(F.col("a").alias("node"), "band").agg(F.sum("n").alias("need")), "jaccard-need")
+    pairs = met.where("b IS NOT NULL").groupBy("a", "b", "band").agg(F.sum("n").alias("n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(need.select(F.col("node").alias(side), "band", F.col("need").alias(f"need_{side}")), [side, "band"])
+    few = need.where("need <= 0").select("node", "band")
+    again = rows(large.join(few.select("node").distinct(), "node", "left_semi"), False).join(few, ["node", "band"], "left_semi")
+    starred = again.select("key", "node", F.lit(None).cast("long").alias("other")).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a bigint, b bigint")
+    out = cut(pairs.where("n >= need_a AND n >= need_b").select("a", "b").unionByName(starred), "jaccard-apart")
+    for done in (met, need):
+        drop_table(done)
+    return out
+
+
 class RTree:
     """Bulk-loaded over count vectors: levels of boxes, of which only upper corners and size ranges are needed."""
 
@@ -332,7 +444,8 @@ def _linker(percent: int):
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row."""
-    return _join(docs, k, percent)[0]
+    with shuffles_end(docs.sparkSession):
+        return _join(docs, k, percent)[0]
 
 
 def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -346,9 +459,22 @@ def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFr
     found = components(stars)
     clusters = cut(found.withColumnRenamed("root", "cluster"), "jaccard-clusters")
     least = cut(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("docs"), F.max("n_shingles").alias("size")), "jaccard-least")
-    placed = clusters.join(least, "node")
     whole = F.greatest(F.ceil(F.count("*") / F.lit(CELL)), F.ceil(F.sum("size") * 8 / F.lit(CELL_BYTES))).cast("int")
-    cells = cut(placed.groupBy("cluster").agg(whole.alias("cells")), "jaccard-sizes")
+
+    def sized(clusters: DataFrame) -> DataFrame:
+        return cut(clusters.join(least, "node").groupBy("cluster").agg(whole.alias("cells")), "jaccard-sizes")
+
+    # Large clusters may hold together by chance: what they are taken apart to counts instead.
+    chained, cells = clusters, sized(clusters)
+    placed = chained.join(cells, "cluster")
+    large = cut(placed.where("cells > 1").join(least, "node").select("node", "cluster", F.col("least").alias("doc_id")), "jaccard-large")
+    apart = _apart(large, docs, k, percent)
+    parts = components(apart)
+    clusters = cut(placed.where("cells = 1").select("node", "cluster").unionByName(parts.select("node", F.col("root").alias("cluster"))), "jaccard-clusters")
+    for done in (chained, cells, large, apart, parts):
+        drop_table(done)
+    cells = sized(clusters)
+    placed = clusters.join(least, "node")
     members = cut(placed.join(cells, "cluster").select("node", "cluster", "cells", "docs", F.col("least").alias("doc_id")), "jaccard-members")
     read, _ = perhaps(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -393,8 +519,9 @@ DEDUPE_SHINGLE, DEDUPE_PERCENT = 5, 80
 
 def deduplicate(docs: DataFrame, k: int = DEDUPE_SHINGLE, percent: int = DEDUPE_PERCENT) -> DataFrame:
     """The documents without those linked to one of a smaller id: one of each component stays, with all columns as they were."""
-    found, tables = _join(docs, k, percent)
-    gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    with shuffles_end(docs.sparkSession):
+        found, tables = _join(docs, k, percent)
+        gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
     for table in tables:
         drop_table(table)
     return without(docs, gone, "doc_id")

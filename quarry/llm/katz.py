@@ -29,7 +29,6 @@ rows it met before.
 
 from __future__ import annotations
 
-import contextlib
 import json
 import re
 from collections.abc import Iterator
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, bucket_of, cut, drop_table, fresh_path, mix, release, trim, word_hashes
+from quarry.llm.common import bound_batches, bucket_of, cut, drop_table, fresh_path, mix, release, shuffles_end, trim, word_hashes
 
 CUT, TAIL = 5, 0.1
 #: The most frequent words that are sent to all tasks (24 bytes each); with the start mark their numbers have 16 bits.
@@ -158,18 +157,6 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return token, history, np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
 
 
-@contextlib.contextmanager
-def _shuffles_end(spark: SparkSession):
-    """What is written inside leaves no shuffle files behind: each goes when its write is over, not at some later collection."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _read(docs: DataFrame, held_out) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.col("text").alias("text"))
 
@@ -382,7 +369,7 @@ class Katz:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(self.buckets, 4096))
         dealt = lambda df: df.repartition(parts, "key").sortWithinPartitions("key", "kind")
         met = _read(docs, held_out).mapInArrow(_tokens_dealt(self.hot, self.buckets), _ROW).unionByName(self._table("counts").where("kind IN ('n', 'u')"))
-        with _shuffles_end(self.spark):
+        with shuffles_end(self.spark):
             found = cut(dealt(met).mapInArrow(_looked_up(self), _ROW), "katz-parts")
         release(self.spark)
         asked = found.where("kind = 'x'").unionByName(self._table("weights").where("kind = 'w'"))
@@ -400,7 +387,7 @@ def fit(docs: DataFrame, held_out, path: str | None = None) -> Katz:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-n // PER_BUCKET))
     dealt = lambda df: df.repartition(max(parts, min(buckets, 4096)), "key").sortWithinPartitions("key")
-    with _shuffles_end(spark):
+    with shuffles_end(spark):
         made = cut(dealt(rows.mapInArrow(_counted(hot, buckets), _ROW)).mapInArrow(_merged(hot, hot_counts, buckets), _ROW), "katz-merged")
     release(spark)
     v, n_r = int((hot_counts > 0).sum()), np.zeros(CUT + 3, np.int64)
@@ -409,7 +396,7 @@ def fit(docs: DataFrame, held_out, path: str | None = None) -> Katz:
         v, n_r = v + int(words[0]), n_r + by_count
     star = discounts(n_r)
     made.where("kind IN ('n', 'u')").write.parquet(f"{path}/counts")
-    with _shuffles_end(spark):
+    with shuffles_end(spark):
         dealt(made.where("kind = 'h'")).mapInArrow(_weighed(hot, n, v, star), _ROW).write.parquet(f"{path}/weights")
     drop_table(made)
     weights = np.zeros(len(hot) + 1)
